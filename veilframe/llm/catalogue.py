@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import line_dedup, quality_rules
+from veilframe.llm import line_dedup, minhash, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op8_minhash": minhash.op8_minhash,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
