@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import line_dedup, minhash, quality_rules
+from veilframe.llm import decontaminate, line_dedup, minhash, pieces, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op5_decontaminate": decontaminate.op5_decontaminate,
+        "op7_pieces": pieces.op7_pieces,
         "op8_minhash": minhash.op8_minhash,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
