@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import chat, compression, decontaminate, language, line_dedup, minhash, pieces, quality_rules, toxicity
+from veilframe.llm import chat, compression, cross_entropy, decontaminate, language, line_dedup, minhash, pieces, quality_rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_pieces": pieces.op7_pieces,
         "op8_minhash": minhash.op8_minhash,
+        "op9_cross_entropy": cross_entropy.op9_cross_entropy,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
