@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ MARK = "▁"
 #: Added to the lowest score for a character that no piece holds.
 UNKNOWN = -10.0
 N_BEST = 4
-#: Chunks a worker remembers, at most, in each of two generations.
-MEMO = 200_000
+#: Chunks a worker remembers, at most (about 250 bytes each).
+MEMO = 500_000
 
 
 #: Ways to cut a text into chunks: words apart from other characters, or at spaces only; a word mark always stands alone.
@@ -60,16 +61,6 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class _Memo(dict):
-    """What is known of chunks; others are looked at one by one."""
-
-    def __init__(self, of: Pieces):
-        self.of = of
-
-    def __missing__(self, chunk: str) -> tuple[bytes, float, float]:
-        return self.of.chunk(chunk)
-
-
 class Pieces:
     """Pieces, scores and byte pieces of a model; small enough to broadcast (tens of thousands of rows)."""
 
@@ -86,8 +77,11 @@ class Pieces:
             raise ValueError("pieces of this model cross the start of a word")
         self.prefixes = {p[:n] for p in self.edge for n in range(1, len(p) + 1)}
         self.unknown = min((s for s, _ in self.edge.values()), default=0.0) + UNKNOWN
-        self.memo = _Memo(self)
-        self.old: dict[str, tuple[bytes, float, float]] = {}
+        # Chunks known so far, by number: where their ids lie in the pool, how many, their score, loss and last use.
+        self.memo: dict[str, int] = {}
+        self.pool, self.off, self.len = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.score, self.loss, self.used, self.turn = np.zeros(0), np.zeros(0), np.zeros(0, np.int64), 0
+        self.searched: dict[tuple[str, int], list] = {}
         # For whole batches of chunks: hashes of prefixes, and of pieces in order with their scores and ids.
         hashed = sorted((_hash(p), *self.edge[p]) for p in self.edge)
         self.hashes = np.array([h for h, _, _ in hashed], np.uint64)
@@ -117,9 +111,33 @@ class Pieces:
     def split(self, text: str | None) -> list[str]:
         return self.chunks.findall(" " + text) if text else []
 
-    def age(self) -> None:
-        """Forget the chunks that have not been seen since the last time."""
-        self.old, self.memo = self.memo, _Memo(self)
+    def remember(self, chunks: list[str], ids: np.ndarray, counts: np.ndarray, score: np.ndarray, loss: np.ndarray) -> None:
+        known = len(self.off)
+        self.memo.update(zip(chunks, range(known, known + len(chunks))))
+        self.off = np.concatenate([self.off, len(self.pool) + np.cumsum(counts) - counts])
+        self.pool, self.len = np.concatenate([self.pool, ids]), np.concatenate([self.len, counts])
+        self.score, self.loss = np.concatenate([self.score, score]), np.concatenate([self.loss, loss])
+        self.used = np.concatenate([self.used, np.full(len(chunks), self.turn)])
+
+    def forget(self) -> None:
+        """Keep the half of the chunks that was used last."""
+        n = len(self.off)
+        if not n:
+            return
+        keep = self.used > np.partition(self.used, n // 2)[n // 2]
+        order = np.flatnonzero(keep)
+        number = np.cumsum(keep) - 1
+        self.memo = {c: int(number[i]) for c, i in self.memo.items() if keep[i]}
+        self.pool = self.gather(order)
+        self.len, self.score, self.loss, self.used = self.len[order], self.score[order], self.loss[order], self.used[order]
+        self.off = np.cumsum(self.len) - self.len
+
+    def gather(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of chunks one after another."""
+        counts = self.len[numbers]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.pool[np.repeat(self.off[numbers] - ends + counts, counts) + np.arange(total)]
 
     def lattice(self, chunk: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """Edges (end, score, ids) by start; every character has one of its own at least."""
@@ -151,8 +169,8 @@ class Pieces:
                     back[e[0]] = (i, e)
         return best, back
 
-    def chunk(self, chunk: str) -> tuple[bytes, float, float]:
-        """The best ids (int32 bytes), their score, and how much the next best segmentation loses."""
+    def chunk(self, chunk: str) -> tuple[np.ndarray, float, float]:
+        """The best ids, their score, and how much the next best segmentation loses."""
         edges = self.lattice(chunk)
         best, back = self.forward(edges)
         n = len(edges)
@@ -166,20 +184,19 @@ class Pieces:
             on.add((i, e[0]))
             v = i
         second = max([best[i] + e[1] + rest[e[0]] for i, here in enumerate(edges) for e in here if (i, e[0]) not in on], default=float("-inf"))
-        ids = np.array([x for e in reversed(path) for x in e], np.int32).tobytes()
-        if len(self.memo) >= MEMO:
-            self.age()
-        found = self.memo[chunk] = (ids, best[n], best[n] - second)
-        return found
+        ids = np.array([x for e in reversed(path) for x in e], np.int32)
+        return ids, best[n], best[n] - second
 
     def fill(self, chunks: set[str]) -> None:
         """Remember what ``chunk`` finds for many chunks: the same passes, over arrays of chunks of like length."""
+        self.turn += 1
         if len(self.memo) + len(chunks) > MEMO:
-            self.age()
-        memo, old = self.memo, self.old
-        if old:
-            memo.update((c, old[c]) for c in chunks if c in old and c not in memo)
-        new = sorted((c for c in chunks if c not in memo and len(c) <= _WIDE), key=len)
+            self.forget()
+        missing = [c for c in chunks if c not in self.memo]
+        if wide := [c for c in missing if len(c) > _WIDE]:
+            done = [self.chunk(c) for c in wide]
+            self.remember(wide, np.concatenate([d[0] for d in done]), np.array([len(d[0]) for d in done]), *(np.array([d[k] for d in done]) for k in (1, 2)))
+        new = sorted((c for c in missing if len(c) <= _WIDE), key=len)
         for at in range(0, len(new), _ROWS):
             self._fill(new[at : at + _ROWS])
 
@@ -233,20 +250,13 @@ class Pieces:
             through = best[:, j : j + 1] + score[:, j] + rest[:, j + 1 : j + 1 + most]
             np.maximum(second, np.where(on[:, j], -np.inf, through).max(axis=1), out=second)
         whole = best[every, size]
-        used = ids[on]
-        ends = np.cumsum(on.sum(axis=(1, 2)))
-        raw, odd = used.tobytes(), np.zeros(rows, bool)
-        odd[np.searchsorted(ends, np.flatnonzero(used < 0), "right")] = True  # byte pieces: several ids for a character
-        starts, memo, start = np.nonzero(on)[1], self.memo, 0
-        for c, e, w, l, o in zip(chunks, ends.tolist(), whole.tolist(), (whole - second).tolist(), odd.tolist()):
-            part = raw[4 * start : 4 * e]
-            if o:
-                full = []
-                for x, place in zip(used[start:e].tolist(), starts[start:e].tolist()):
-                    full += [x] if x >= 0 else [self.byte_ids[b] for b in c[place].encode("utf-8", "surrogatepass")]
-                part = np.array(full, np.int32).tobytes()
-            memo[c] = (part, w, l)
-            start = e
+        used, counts = ids[on], on.sum(axis=(1, 2))
+        if (used < 0).any():  # byte pieces: several ids for a character
+            where, place = np.nonzero(on)[:2]
+            full = [[x] if x >= 0 else [self.byte_ids[b] for b in chunks[r][i].encode("utf-8", "surrogatepass")] for x, r, i in zip(used.tolist(), where.tolist(), place.tolist())]
+            counts = np.bincount(where, [len(f) for f in full], rows).astype(np.int64)
+            used = np.array([x for f in full for x in f], np.int32)
+        self.remember(chunks, used, counts, whole, whole - second)
 
     def n_best(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best segmentations (score, ids) of a chunk: A* backwards from its end."""
@@ -273,27 +283,42 @@ class Pieces:
                 heapq.heappush(heap, (-(best[i] + g), i, tick, g, (e[2], suffix)))
         return out
 
-    def encode(self, text: str | None, n: int = N_BEST, chunks: list[str] | None = None) -> tuple[np.ndarray, float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
-        """Best ids, their score, and the other n - 1 best as (score, [(first id replaced, how many, by which ids)])."""
-        if not text:
-            return np.zeros(0, np.int32), 0.0, []
-        chunks = chunks or self.split(text)
-        parts, scores, losses = zip(*map(self.memo.__getitem__, chunks))
-        ids = np.frombuffer(b"".join(parts), np.int32)
-        loss = np.array(losses)
-        score = sum(scores)
-        few = np.argsort(loss, kind="stable")[: n - 1] if len(loss) < n else _smallest(loss, n - 1)
-        combos: list[tuple[float, tuple]] = [(0.0, ())]
-        for c in sorted(few.tolist()):
-            if loss[c] == float("inf"):
-                continue
-            first = tuple(np.frombuffer(parts[c], np.int32).tolist())
-            others = [(scores[c] - s, way) for s, way in self.n_best(chunks[c], n) if way != first][: n - 1]
-            more = [(x + d, (*how, (c, way))) for x, how in combos for d, way in [(0.0, None), *others] if way is not None]
-            combos = heapq.nsmallest(n, combos + more, key=lambda x: x[0])
-        at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in parts])]) if len(combos) > 1 else None
-        rest = [(score - x, [(int(at[c]), len(parts[c]) // 4, way) for c, way in how]) for x, how in combos[1:n]]
-        return ids, score, rest
+    def ways(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """``n_best``, remembered: chunks of small loss come again and again."""
+        if (known := self.searched.get((chunk, n))) is None:
+            if len(self.searched) >= MEMO // 10:
+                self.searched.clear()
+            known = self.searched[chunk, n] = self.n_best(chunk, n)
+        return known
+
+    def encode(self, texts: list[str | None], n: int = N_BEST) -> list[tuple[np.ndarray, float, list]]:
+        """For each text the best ids, their score, and the other n - 1 best.
+
+        Those are (score, [(first id replaced, how many, by which ids)]).
+        """
+        cut = [self.split(t) for t in texts]
+        self.fill(set().union(*cut))
+        counts = np.array([len(c) for c in cut], np.int64)
+        numbers = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        self.used[numbers] = self.turn
+        loss, score, ids = self.loss[numbers], self.score[numbers], self.gather(numbers)
+        id_at = np.concatenate([[0], np.cumsum(self.len[numbers])])
+        out, a = [], 0
+        for chunks, b in zip(cut, np.cumsum(counts).tolist()):
+            own = ids[id_at[a] : id_at[b]]
+            best = float(score[a:b].sum())
+            combos: list[tuple[float, tuple]] = [(0.0, ())]
+            for c in sorted(_smallest(loss[a:b], min(n - 1, b - a)).tolist()):
+                if loss[a + c] == np.inf:
+                    continue
+                at, size = int(id_at[a + c] - id_at[a]), int(id_at[a + c + 1] - id_at[a + c])
+                first = tuple(own[at : at + size].tolist())
+                others = [(float(score[a + c]) - x, way) for x, way in self.ways(chunks[c], n) if way != first][: n - 1]
+                more = [(x + d, (*how, (at, size, way))) for x, how in combos for d, way in others]
+                combos = heapq.nsmallest(n, combos + more, key=lambda x: x[0])
+            out.append((own, best, [(best - x, list(how)) for x, how in combos[1:n]]))
+            a = b
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space that encoding put before it is taken off."""
@@ -330,9 +355,7 @@ def _encode(broadcast, n: int):
                 while end < len(texts) and size < _BATCH:
                     size += len(texts[end] or "")
                     end += 1
-                cut = [p.split(t) for t in texts[start:end]]
-                p.fill(set().union(*cut))
-                done = [p.encode(t, n, c) for t, c in zip(texts[start:end], cut)]
+                done = p.encode(texts[start:end], n)
                 flat = np.concatenate([d[0] for d in done]) if done else np.zeros(0, np.int32)
                 counts = np.array([len(d[0]) for d in done], np.int64)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, pa.int32()))
