@@ -12,8 +12,10 @@ How groups of any size stay cheap and whole:
    id of each, and only that representative goes on.
 2. In each bucket, members are compared with one hub (two rounds, another hub each),
    so a bucket of n gives n pairs. Links found that way are contracted to components.
-3. Only pairs of *different* components within a bucket are then compared all with
-   all. Inside a component nothing is left to find, so no link that matters is lost.
+3. Only pairs of *different* components within a bucket are left; inside a component
+   nothing is to be found. Members whose own shingles (held by no other member) rule out
+   every link are settled by counting; the others are compared block by block, and only
+   links become rows.
 
 Candidates that pass the estimate (a margin of over six standard errors below the
 threshold) are confirmed on the full sets of both texts.
@@ -178,6 +180,20 @@ def _sign(width: int):
     return run
 
 
+def _spell(width: int):
+    """(id, shingle hash) of each distinct shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(), encoded(batch.column(1))
+            for part in slices(texts):
+                sets = shingle_hashes([texts[i] for i in part], width)
+                who = np.repeat(ids[part], [len(s) for s in sets])
+                yield pa.record_batch([pa.array(who), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "h"])
+
+    return run
+
+
 def _plausible(num: int, den: int):
     """Keeps candidate pairs whose sizes allow the similarity and whose estimate comes near it."""
 
@@ -223,6 +239,72 @@ def _confirm(width: int, num: int, den: int):
     return run
 
 
+def _links_within(block: list[tuple], width: int, num: int, den: int, across: bool) -> Iterator[tuple[int, int]]:
+    """Links between different labels among rows (own, id, label, text); ``across``: only from block to block."""
+    sets = shingle_hashes([r[3] for r in block], width)
+    sizes = np.array([len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    number = np.cumsum(times > 1) - 1
+    shared = times[column] > 1
+    row, column = row[shared], number[column[shared]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        lo, hi = np.searchsorted(column, [a, a + 2048])
+        part = np.zeros((len(sets), 2048), np.float32)
+        part[row[lo:hi], column[lo:hi] - a] = 1
+        both += part @ part.T
+    total = sizes[:, None] + sizes[None, :] - both
+    near = np.triu(den * both >= num * total, 1)
+    label, own = np.array([r[2] for r in block]), np.array([r[0] for r in block])
+    near &= label[:, None] != label[None, :]
+    if across:
+        near &= own[:, None] != own[None, :]
+    root = {int(x): int(x) for x in label}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in zip(*np.nonzero(near)):
+        p, q = find(int(label[i])), find(int(label[j]))
+        if p != q:
+            x, y = shingle_set(block[i][3], width), shingle_set(block[j][3], width)
+            if den * len(x & y) >= num * len(x | y):
+                root[max(p, q)] = min(p, q)
+                yield block[i][1], block[j][1]
+
+
+def _compare(width: int, num: int, den: int):
+    """Links within the groups (hub, lo, hi), which come one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block = None, []
+
+        def out() -> pa.RecordBatch:
+            pairs = list(_links_within(block, width, num, den, at[1] != at[2])) if len({r[2] for r in block}) > 1 else []
+            return pa.record_batch([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(6)]
+            for hub, lo, hi, own, i, label, text in zip(*cols, encoded(batch.column(6))):
+                if (hub, lo, hi) != at:
+                    if block:
+                        yield out()
+                    at, block = (hub, lo, hi), []
+                block.append((own, i, label, text))
+        if block:
+            yield out()
+
+    return run
+
+
+#: Members of a group that stand in one block.
+BLOCK = 128
 _PAIR = "a long, b long"
 
 
@@ -243,7 +325,11 @@ class NearDuplicates:
             F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * size + 1, F.lit(size))))).alias("key"),
         )
         shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-        return common.cut(keys.join(shared, "key", "left_semi"))
+        bands = common.cut(keys.join(shared, "key", "left_semi"))
+        # Texts of candidates only, once. Where an id stands on rows of different texts, the smallest stands for it.
+        ids = bands.select(F.col("id").alias("doc_id")).distinct()
+        self.texts = common.cut(self.docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+        return bands
 
     def _links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of representatives that are links; each pair is looked at once."""
@@ -252,10 +338,7 @@ class NearDuplicates:
         near = common.cut(
             pairs.join(sig["a"], "a").join(sig["b"], "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_plausible(self.num, self.den), _PAIR)
         )
-        wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-        # An id that stands on rows of different texts: its smallest text stands for it, as in the classes.
-        texts = self.docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-        ta, tb = (texts.select(F.col("doc_id").alias(c), F.col("text").alias("t" + c)) for c in "ab")
+        ta, tb = (self.texts.select(F.col("doc_id").alias(c), F.col("text").alias("t" + c)) for c in "ab")
         return common.cut(near.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_confirm(self.width, self.num, self.den), _PAIR))
 
     def components(self) -> DataFrame:
@@ -270,12 +353,53 @@ class NearDuplicates:
             found = self._links(pairs)
             links = found if links is None else links.unionByName(found)
             labels = components(links)
-        mixed = common.cut(self._mixed(bands, labels))
-        x, y = (mixed.select("key", F.col("id").alias(c), F.col("label").alias("l" + c)) for c in "ab")
-        rest = x.join(y, "key").where("la < lb").select("a", "b")
-        found = self._links(rest)
+        found = self._rest(self._narrowed(common.cut(self._mixed(bands, labels))))
         return labels if found.isEmpty() else components(links.unionByName(found))
 
+    def _rest(self, torn: DataFrame) -> DataFrame:
+        """Links (a, b) between different components of ``torn``, as many as join what is linked.
+
+        Buckets of the same hub are taken together, which holds every pair of each once.
+        A group goes to blocks of about ``BLOCK`` members; a task sees two blocks and
+        compares their sets as a matrix product, so no pair becomes a row unless it is a link.
+        """
+        hubs = torn.groupBy("key").agg(F.min("id").alias("hub"))
+        members = common.cut(torn.join(hubs, "key").select("hub", "id", "label").distinct())
+        blocks = members.groupBy("hub").agg(F.ceil(F.count("id") / BLOCK).cast("int").alias("nb"))
+        own = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
+        spread = (
+            members.join(blocks, "hub")
+            .select("hub", "id", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+            .select("hub", "id", "label", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        )
+        rows = spread.join(self.texts, spread["id"] == self.texts["doc_id"]).select("hub", "lo", "hi", "own", "id", "label", "text")
+        dealt = rows.repartition("hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi", "own", "id")
+        return common.cut(dealt.mapInArrow(_compare(self.width, self.num, self.den), _PAIR))
+
+    def _narrowed(self, mixed: DataFrame) -> DataFrame:
+        """(key, id, label, n, c) without members that can have no link left to find.
+
+        c counts the shingles of a member that another member of any torn bucket has too.
+        A and B share min(c) at most, so den * |A and B| >= num * |A or B| needs
+        (num + den) * min(c) >= num * (|A| + |B|). A heavily edited copy has too many shingles
+        of its own to meet this with the smallest set of its bucket, and is settled here,
+        without being compared with the rest of its group.
+        """
+        ids = mixed.select(F.col("id").alias("doc_id")).distinct()
+        texts = self.texts.join(ids, "doc_id", "left_semi")
+        lone = (
+            texts.mapInArrow(_spell(self.width), "id long, h long")
+            .groupBy("h").agg(F.count("id").alias("k"), F.min("id").alias("id")).where("k = 1")
+            .groupBy("id").agg(F.count("h").alias("u"))
+        )
+        sizes = self.reps.select(F.col("rep").alias("id"), "n").join(lone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
+        sized = mixed.join(sizes, "id")
+        least = sized.groupBy("key").agg(F.min("n").alias("least"))
+        able = sized.join(least, "key").where((self.num + self.den) * F.col("c") >= self.num * (F.col("n") + F.col("least"))).drop("least")
+        able = common.cut(able)
+        torn = able.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        return able.join(torn, "key", "left_semi")
+
     @staticmethod
     def _mixed(bands: DataFrame, labels: DataFrame) -> DataFrame:
         """(key, id, label) in the buckets whose members lie in different components."""
