@@ -105,14 +105,53 @@ def apply(doc: Document, targets: list[Target], plan: Plan = Plan()) -> tuple[Do
         for t in targets:
             doc.page(t.page)
             by_page[t.page].append(t)
+        replaced: set[Ref] = set()
         for i in sorted(by_page):
-            _Page(doc, i, by_page[i], plan, report).redact()
+            replaced |= _Page(doc, i, by_page[i], plan, report).redact()
+        _forget(file, replaced - _drawn(build(file)))
         sweep(file)
         return build(file), report
     except RecursionError as e:
         raise PdfError("Unsupported", "values are nested too deeply") from e
 
 
+def _drawn(doc: Document) -> set[Ref]:
+    """XObjects that some page draws, also through forms. Content that cannot be read counts as drawing all it names."""
+    file, out = doc.file, set()
+    todo = [(p.dict.get("Contents"), file.dict_of(p.resources), None) for p in doc.pages]
+    while todo:
+        source, res, form = todo.pop()
+        table = file.dict_of(res.get("XObject"))
+        try:
+            data = content.page_data(file, source) if form is None else filters.decode(form.data, form.dict, file.resolve)
+            names = {o.args[0] for o in content.parse(data) if o.op == "Do" and o.args}
+        except PdfError:
+            names = set(table)
+        for ref in (table.get(n) for n in names):
+            if isinstance(ref, Ref) and ref not in out:
+                out.add(ref)
+                thing = file.resolve(ref)
+                if isinstance(thing, Stream) and thing.dict.get("Subtype") == "Form":
+                    own = file.dict_of(thing.dict.get("Resources"))
+                    todo.append((None, own | {"XObject": dict(table) | dict(file.dict_of(own.get("XObject")))}, thing))
+    return out
+
+
+def _forget(file: File, refs: set[Ref]) -> None:
+    """Take XObjects that nothing draws any more out of every table of resources that names them."""
+    todo: list[Any] = list(file.objects.values())
+    while todo:
+        v = todo.pop()
+        v = v.dict if isinstance(v, Stream) else v
+        if isinstance(v, dict):
+            table = file.dict_of(v.get("XObject"))
+            for k in [k for k, x in table.items() if isinstance(x, Ref) and x in refs]:
+                del table[k]
+            todo.extend(v.values())
+        elif isinstance(v, list):
+            todo.extend(v)
+
+
 def sweep(file: File) -> None:
     """Drop every object that nothing leads to."""
     alive = reachable(file, [file.trailer])
@@ -132,7 +171,8 @@ class _Page:
         b = (b[0], b[1], max(b[2], b[0] + 1e-9), max(b[3], b[1] + 1e-9))
         return any(meets(b, a) for a in (self.quads if areas is None else areas))
 
-    def redact(self) -> None:
+    def redact(self) -> set[Ref]:
+        """Rewrites the page; the objects that some drawing no longer uses."""
         ops = content.parse(content.page_data(self.file, self.page.dict.get("Contents")))
         found = layout.layout(self.doc, self.index, ops)
         self.report.warnings += found.warnings
@@ -172,6 +212,7 @@ class _Page:
         self._annotations()
         self._write(_edited(ops, edits[()]), names[()])
         self.report.pages_touched += 1
+        return {d.ref for d in found.draws if d.ref is not None and d.op in edits[d.path]}
 
     def _check(self, ops: list[Operation], path: tuple) -> None:
         depth = 0
