@@ -24,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    labels = common.cut(live.select(F.col("a").alias("id")).union(live.select("b")).distinct().withColumn("component", F.col("id")))
+    labels = live.select(F.col("a").alias("id")).union(live.select("b")).distinct().withColumn("component", F.col("id"))
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p"))
@@ -32,11 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
             up = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
             hook = hook.join(up, "p").select("v", F.col("pp").alias("p"))
         hook = common.cut(hook)
-        labels = common.cut(
-            labels.join(hook, labels["component"] == hook["v"], "left").select("id", F.coalesce("p", "component").alias("component"))
-        )
+        labels = labels.join(hook, labels["component"] == hook["v"], "left").select("id", F.coalesce("p", "component").alias("component"))
         a, b = (hook.select(F.col("v").alias(c), F.col("p").alias("p" + c)) for c in "ab")
         live = common.cut(
             live.join(a, "a").join(b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
         )
-    return labels
+    return common.cut(labels)

@@ -10,7 +10,7 @@ How groups of any size stay cheap and whole:
 
 1. Documents of equal shingle sets form a class; one aggregation finds the smallest
    id of each, and only that representative goes on.
-2. In each bucket, members are compared with one hub (two rounds, another hub each),
+2. In each bucket, members are compared with one hub, that of the smallest id,
    so a bucket of n gives n pairs. Links found that way are contracted to components.
 3. Only pairs of *different* components within a bucket are left; inside a component
    nothing is to be found. Members whose own shingles (held by no other member) rule out
@@ -344,15 +344,9 @@ class NearDuplicates:
     def components(self) -> DataFrame:
         """(id, component) of the representatives that have a link."""
         bands = self._bands()
-        links, labels = None, None
-        for turn in range(2):
-            mixed = bands if labels is None else self._mixed(bands, labels)
-            priority = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-            hubs = mixed.groupBy("key").agg(F.min_by("id", priority).alias("hub")) if turn else mixed.groupBy("key").agg(F.min("id").alias("hub"))
-            pairs = mixed.join(hubs, "key").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-            found = self._links(pairs)
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
+        hubs = bands.groupBy("key").agg(F.min("id").alias("hub"))
+        links = self._links(bands.join(hubs, "key").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+        labels = components(links)
         found = self._rest(self._narrowed(common.cut(self._mixed(bands, labels))))
         return labels if found.isEmpty() else components(links.unionByName(found))
 
