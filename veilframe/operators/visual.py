@@ -19,7 +19,7 @@ def cluster(cy: list[float], height: list[float], x: list[float]) -> list[int]:
     tall: list[float] = []
     right: list[float] = []
     out = []
-    alive = 0
+    alive, reach = 0, 0.10 * max([1.0, *height])
     for c, h, left in zip(cy, height, x):
         place = -1
         for k in range(alive, len(anchors)):
@@ -34,7 +34,7 @@ def cluster(cy: list[float], height: list[float], x: list[float]) -> list[int]:
         else:
             tall[place], right[place] = max(tall[place], h), left
         # Lines far above can take no later glyph, which all lie lower.
-        while alive < len(anchors) and anchors[alive] - c > 0.10 * max(max(tall), h):
+        while alive < len(anchors) and anchors[alive] - c > reach:
             alive += 1
         out.append(place)
     return out
