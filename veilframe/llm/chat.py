@@ -100,11 +100,12 @@ class Formatter:
         """Formatted text, token ids, loss mask, and the runs of characters under the mask."""
         text, spans = render(turns)
         got = self.encoder.encode(text, add_special_tokens=False)
+        offsets = got.offsets
         loss = [(a, b) for a, b, k in spans if turns[k][0] == LOSS_ROLE]
-        mask = loss_mask(got.offsets, loss)
+        mask = loss_mask(offsets, loss)
         runs: list[tuple[int, int]] = []
         for t in np.flatnonzero(mask):
-            a, b = got.offsets[t]
+            a, b = offsets[t]
             if runs and a <= runs[-1][1]:
                 runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
             else:
