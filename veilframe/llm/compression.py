@@ -105,14 +105,15 @@ def train(rows: list[tuple[bytes, int]], share: float | None = None) -> Model:
     of = lambda part, k: _dictionary([t for t, y in part if y == k])
     if min(n) < 4:
         return Model(b"\0" * 8, b"\0" * 8, np.zeros(0), prior)
-    folds = [rows[0::2], rows[1::2]]
+    each = [[r for r in rows if r[1] == k] for k in (0, 1)]
+    folds = [each[0][i::2] + each[1][i::2] for i in (0, 1)]
     x, y = [], []
     for mine, other in (folds, folds[::-1]):
-        if min(sum(v == k for _, v in mine) for k in (0, 1)) == 0:
-            continue
         coders = Model(of(mine, 1), of(mine, 0), np.zeros(0), prior).coders()
         x += [features(t, coders) for t, _ in other if t]
         y += [v for t, v in other if t]
+    if len(set(y)) < 2:
+        return Model(b"\0" * 8, b"\0" * 8, np.zeros(0), prior)
     xs, ys = np.array(x), np.array(y, float)
     return Model(of(rows, 1), of(rows, 0), _logistic(xs, ys), prior)
 
@@ -147,7 +148,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text)."""
-    got = docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, score double")
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model), "doc_id long, score double")
     return got.select(
         "doc_id",
         F.coalesce(common.bucket(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"),

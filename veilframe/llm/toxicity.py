@@ -42,6 +42,8 @@ BUCKETS = 1 << 14
 #: A word has a vector of its own if so many training documents hold it.
 MIN_DOCUMENTS = 4
 WARM_UP, WORST = 3, 8
+#: Batches of 64 windows in each pass, at least.
+STEPS = 40
 CUT = 0.5
 #: Characters scored together.
 SLICE = 1 << 20
@@ -240,8 +242,9 @@ def train(rows: list[tuple[str, int]], base: float, seed: int = 3) -> Model:
                 if y[i] == 0:  # and another one, as any window of such a document is clean
                     spots.append((i, *w[rng.integers(len(w))]))
                     labels.append(0.0)
-        shuffle = rng.permutation(len(spots))
-        _learn(p, opt, docs, [spots[j] for j in shuffle], np.array(labels, np.float32)[shuffle], known, bucket, at, rng)
+        for _ in range(max(1, -(-STEPS * 64 // max(1, len(spots))))):  # a small sample is gone through again
+            shuffle = rng.permutation(len(spots))
+            _learn(p, opt, docs, [spots[j] for j in shuffle], np.array(labels, np.float32)[shuffle], known, bucket, at, rng)
     model = Model(p, vocabulary, (0.0, 1.0), base)
     rest = [i for i in np.flatnonzero(~fitting) if len(docs[i])]
     _, xf, xb = inputs(p, known, _means(p["chars"], bucket, at))
@@ -316,7 +319,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text)."""
-    got = docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, score double")
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model), "doc_id long, score double")
     return got.select(
         "doc_id",
         F.coalesce(common.bucket(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"),
