@@ -33,7 +33,8 @@ LG_K = 12
 NEAR = 0.25
 
 _BLANKS = " \t\x0b\x0c\r"
-_WORDS = r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}[^\x20\x09-\x0D]"
+#: So many words and one more; anchored and possessive, so a line of one endless word costs one pass.
+_WORDS = r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){%d}[^\x20\x09-\x0D]"
 
 
 def line_hash(line: Column) -> Column:
@@ -87,10 +88,10 @@ def dedup_lines(docs: DataFrame, spread: int = SPREAD, prefix: str = "") -> Data
         .where(F.col("doc_id") != F.col("owner"))
         .groupBy("doc_id")
         .agg(F.collect_set("h").alias("__lost"))
-        .withColumnRenamed("doc_id", "__id")
     )
-    (lost,) = common.fresh(docs, "lost")
-    joined = docs.join(losses.withColumnRenamed("__lost", lost), F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    lost, key = common.fresh(docs, "lost", "key")
+    losses = losses.select(F.col("doc_id").alias(key), F.col("__lost").alias(lost))
+    joined = docs.join(losses, docs["doc_id"] == losses[key], "left").drop(key)
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda x: ~(F.array_contains(F.col(lost), line_hash(x)) & x.rlike(_WORDS % (MIN_WORDS - 1))))
     has = F.col(lost).isNotNull()
