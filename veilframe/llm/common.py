@@ -35,6 +35,13 @@ def bucket(doc_id: Column, mod: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(mod)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let no Arrow batch of this session hold over ``rows`` rows: they carry whole texts, and a worker keeps one or two batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def shared_folder(spark: SparkSession) -> None:
     """Make ``checkpoint()`` usable: the session's spark.checkpoint.dir, or where it is unset (tests) a local one."""
     jsc = spark.sparkContext._jsc.sc()

@@ -148,6 +148,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text)."""
+    common.text_batches(docs.sparkSession)
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model), "doc_id long, score double")
     return got.select(
         "doc_id",

@@ -106,6 +106,7 @@ def _count(good) -> object:
 def fit(docs: DataFrame, target: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> Pair:
     """The models of ``docs`` (doc_id, text), of which those in ``target`` (doc_id) are the target corpus."""
     spark = docs.sparkSession
+    common.text_batches(spark)
     ids = target.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     few = ids.limit(broadcast_ids + 1).count() <= broadcast_ids

@@ -241,6 +241,7 @@ def _scan_docs(ix: Index, docs: list[tuple], lap: int) -> Iterator[tuple]:
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, end, edits): passages of ``docs`` that are benchmark items within the edit budget."""
     spark = docs.sparkSession
+    common.text_batches(spark)
     items = benchmark.select("item_id", "text").where("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-int(chars) // BLOCK_CHARS))

@@ -182,7 +182,8 @@ def fit(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGUAGE)
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of ``docs`` (doc_id, text)."""
-    got = docs.select("doc_id", "text").mapInArrow(_identify(model), "doc_id long, lang_pred string, score double")
+    common.text_batches(docs.sparkSession)
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_identify(model), "doc_id long, lang_pred string, score double")
     return got.select("doc_id", F.coalesce(common.bucket(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 

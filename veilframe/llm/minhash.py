@@ -313,7 +313,8 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, width: int = 5, num: int = 80, den: int = 100):
         self.width, self.num, self.den = width, num, den
-        self.docs = docs.select("doc_id", "text")
+        common.text_batches(docs.sparkSession)
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.signed = common.cut(self.docs.where("doc_id is not null").mapInArrow(_sign(width), "id long, n long, f1 long, f2 long, sig binary"))
         self.reps = common.cut(self.signed.where("n > 0").groupBy("f1", "f2", "n", "sig").agg(F.min("id").alias("rep")))
 

@@ -35,7 +35,7 @@ MARK = "▁"
 UNKNOWN = -10.0
 N_BEST = 4
 #: Chunks a worker remembers, at most (about 250 bytes each).
-MEMO = 500_000
+MEMO = 300_000
 
 
 #: Ways to cut a text into chunks: words apart from other characters, or at spaces only; a word mark always stands alone.
@@ -372,6 +372,7 @@ def _encode(broadcast, n: int):
 
 def encode(docs: DataFrame, model: str | None = None, n: int = N_BEST) -> DataFrame:
     """Best ids of each text of ``docs`` (doc_id, text) and its next best segmentations as changes to them."""
+    common.text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(Pieces.load(model or default_model()))
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_encode(held, n), SCHEMA)
 
