@@ -81,6 +81,7 @@ class Pieces:
         self.memo: dict[str, int] = {}
         self.pool, self.off, self.len = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.score, self.loss, self.used, self.turn = np.zeros(0), np.zeros(0), np.zeros(0, np.int64), 0
+        self.uses = np.zeros(0, np.int64)
         self.searched: dict[tuple[str, int], list] = {}
         # For whole batches of chunks: hashes of prefixes, and of pieces in order with their scores and ids.
         hashed = sorted((_hash(p), *self.edge[p]) for p in self.edge)
@@ -118,18 +119,21 @@ class Pieces:
         self.pool, self.len = np.concatenate([self.pool, ids]), np.concatenate([self.len, counts])
         self.score, self.loss = np.concatenate([self.score, score]), np.concatenate([self.loss, loss])
         self.used = np.concatenate([self.used, np.full(len(chunks), self.turn)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(chunks), np.int64)])
 
     def forget(self) -> None:
-        """Keep the half of the chunks that was used last."""
+        """Keep the half of the chunks that was used most, of equals last; older uses count half from then on."""
         n = len(self.off)
         if not n:
             return
-        keep = self.used > np.partition(self.used, n // 2)[n // 2]
+        worth = np.minimum(self.uses, 1 << 20) * (self.turn + 1) + self.used
+        keep = worth > np.partition(worth, n // 2)[n // 2]
         order = np.flatnonzero(keep)
         number = np.cumsum(keep) - 1
         self.memo = {c: int(number[i]) for c, i in self.memo.items() if keep[i]}
         self.pool = self.gather(order)
         self.len, self.score, self.loss, self.used = self.len[order], self.score[order], self.loss[order], self.used[order]
+        self.uses = self.uses[order] // 2
         self.off = np.cumsum(self.len) - self.len
 
     def gather(self, numbers: np.ndarray) -> np.ndarray:
@@ -301,6 +305,7 @@ class Pieces:
         counts = np.array([len(c) for c in cut], np.int64)
         numbers = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
         self.used[numbers] = self.turn
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
         loss, score, ids = self.loss[numbers], self.score[numbers], self.gather(numbers)
         id_at = np.concatenate([[0], np.cumsum(self.len[numbers])])
         out, a = [], 0
