@@ -400,6 +400,21 @@ def test_cross_entropy_difference(spark, limit):
             assert (r.target_loss, r.background_loss, r.score) == (None, None, 0.0)
 
 
+def test_cross_entropy_tells_all_words_apart(spark):
+    # More distinct words than a fixed table of 2^18 has slots: a word or pair that stands once is counted once.
+    rows = [(i, " ".join(f"w{i * 1000 + j}" for j in range(1000))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    good = spark.createDataFrame([(0,)], "doc_id long")
+    one = (1 + cross_entropy.UNIFORM) / (300_000 * (1 + cross_entropy.UNIFORM))
+    two = (1 + cross_entropy.BACKOFF * one) / (1 + cross_entropy.BACKOFF)
+    want = -(math.log(one) + 999 * math.log(two)) / 1000
+    got = cross_entropy.scored(df, cross_entropy.fit(df, good)).collect()
+    assert len(got) == 300 and all(r.background_loss == pytest.approx(want, rel=1e-9) for r in got)
+    # Other rows than those counted ask for themselves.
+    again = cross_entropy.scored(df.where("doc_id < 9"), cross_entropy.fit(df, good)).collect()
+    assert len(again) == 9 and all(r.background_loss == pytest.approx(want, rel=1e-9) for r in again)
+
+
 # 10 ------------------------------------------------------------------------------------------------
 
 

@@ -1,15 +1,23 @@
 """Language-model scoring by cross-entropy difference.
 
 Two interpolated bigram models, one of a target corpus (documents labelled good) and
-one of the background (all documents), share one vocabulary: words hashed to 2^18
-slots, pairs of words to 2^20. Both count every token of their corpus. A document's
-score is the mean over its tokens of the target loss less the background loss: lower
-means more like the target than the corpus at large is.
+one of the background (all documents). Both count every token of their corpus. A
+document's score is the mean over its tokens of the target loss less the background
+loss: lower means more like the target than the corpus at large is.
 
-Tasks count into arrays of fixed size and send their nonzero slots; slots are summed
-by one aggregation. The summed tables (1.3 million slots whatever the corpus) are the
-only thing that is broadcast besides target ids. Those go as a sorted array where there are at most
-``BROADCAST_IDS``, else the flag is joined.
+Words and pairs of words are counted under 63-bit hashes and one bit that tells the two
+apart, in a table that grows with the corpus; nothing of it is broadcast or sent to the
+driver. Tasks cut their rows into chunks of about ``CHUNK`` bytes and send the distinct
+hashes of each with their counts, packed by bucket of leading hash bits (the number of
+buckets follows the text). Each bucket adds up its counts and answers every chunk in the
+order of its hashes, and the answers meet the texts of the chunk. Where other documents
+are scored than were counted, or the flag is joined, chunks send the hashes they ask for
+in the same way. Sending and scoring cut the rows of ``docs`` into chunks independently,
+so its partitions must be reproducible, as those of files are; a chunk whose answers do
+not fit its texts is an error.
+
+Target ids go as a sorted array where there are at most ``BROADCAST_IDS``, else the flag
+is joined.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text
 without words, or null, has 0 tokens, null losses and score 0; without target
@@ -20,7 +28,9 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,85 +40,174 @@ from pyspark.sql import functions as F
 from veilframe.llm import common
 from veilframe.llm.minhash import _mix, encoded, slices, word_hashes
 
-WORD_BITS, PAIR_BITS = 18, 20
-WORDS, PAIRS = 1 << WORD_BITS, 1 << PAIR_BITS
+#: Words that the uniform estimate reckons with at least; beyond that, those of the background.
+WORDS = 1 << 18
 #: Weight of the unigram estimate in a bigram's, in tokens, and of the uniform one in a unigram's.
 BACKOFF, UNIFORM = 8.0, 0.1
 BROADCAST_IDS = 1_000_000
+#: Bytes of text of a chunk, and those that a bucket of hashes stands for, about.
+CHUNK, BUCKET = 12 << 20, 4 << 20
+
+_COUNTS = "bucket int, chunk long, n int, keys binary, t binary, b binary"
+_ANSWERS = "chunk long, bucket int, n long, mark long, t binary, b binary"
+_SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+_LAST = 2**31 - 1
 
 
-def slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word slots in order, the pair slot of each with its predecessor, whether it begins a text, and where texts begin."""
+def hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word keys in order, the pair key of each with its predecessor, whether it begins a text, and where texts begin."""
     with np.errstate(over="ignore"):
         h, at = word_hashes(texts)
-        w = (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
         before = np.concatenate([[np.uint64(0)], h[:-1]]) if len(h) else h
-        pair = (_mix(before * np.uint64(0x9E3779B97F4A7C15) + h) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-    first = np.zeros(len(w), bool)
+        pair = _mix(before * np.uint64(0x9E3779B97F4A7C15) + h)
+    first = np.zeros(len(h), bool)
     first[at[:-1][at[:-1] < at[1:]]] = True
-    return w, pair, first, at
+    return h | np.uint64(1), pair & ~np.uint64(1), first, at
 
 
-def count(texts: list[bytes], totals: np.ndarray) -> None:
-    """Add the tokens of ``texts`` to ``totals`` (word slots, then pair slots)."""
-    w, pair, first, _ = slots(texts)
-    totals[:WORDS] += np.bincount(w, minlength=WORDS)
-    totals[WORDS:] += np.bincount(pair[~first], minlength=PAIRS)
+def _keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of words and pairs in order, and how often each stands."""
+    found = [np.zeros(0, np.uint64)]
+    for part in slices(texts):
+        w, pair, first, _ = hashes([texts[i] for i in part])
+        found += [w, pair[~first]]
+    return np.unique(np.concatenate(found), return_counts=True)
 
 
-class Pair:
-    """The two models; ``counts`` has a row for the target and one for the background."""
+def pack(a: np.ndarray) -> bytes:
+    """64-bit numbers, byte plane by byte plane, compressed."""
+    return pa.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
 
-    def __init__(self, counts: np.ndarray):
-        self.words, self.pairs = counts[:, :WORDS].astype(np.float32), counts[:, WORDS:].astype(np.float32)
-        total = counts[:, :WORDS].sum(axis=1, dtype=np.float64)
-        self.single = ((counts[:, :WORDS] + UNIFORM) / (total[:, None] + UNIFORM * WORDS)).astype(np.float32)
 
-    def losses(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of each text, and the summed loss (target, background) of each."""
-        w, pair, first, at = slots(texts)
-        loss = np.empty((2, len(w) + 1))
-        loss[:, 0] = 0
-        before = np.concatenate([[0], w[:-1]]) if len(w) else w
-        for k in (0, 1):
-            one = self.single[k][w].astype(float)
-            two = (self.pairs[k][pair] + BACKOFF * one) / (self.words[k][before] + BACKOFF)
-            loss[k, 1:] = -np.log(np.where(first, one, two))
-        ends = np.cumsum(loss, axis=1)
-        return np.diff(at), ends[:, at[1:]] - ends[:, at[:-1]]
+def unpack(b: bytes, n: int, kind: type = np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(b, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _pack_keys(a: np.ndarray) -> bytes:
+    return pack(np.diff(a, prepend=np.uint64(0)))
+
 
+def _unpack_keys(b: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpack(b, n, np.uint64), dtype=np.uint64)
+
+
+def _mark(keys: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(keys).view(np.int64)) if len(keys) else 0
+
+
+def _runs(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """Buckets of sorted keys, and where those of each are."""
+    if not bits:
+        at = np.array([0, len(keys)])
+    else:
+        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+        at = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+    for k in np.flatnonzero(at[1:] > at[:-1]):
+        yield int(k), slice(at[k], at[k + 1])
+
+
+def _name(texts: list[bytes]) -> int:
+    return int.from_bytes(hashlib.blake2b(b"\0".join(texts), digest_size=8).digest()) >> 1
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, list[bytes], pa.Array]]:
+    """(chunk, texts, the other column) of all rows; a chunk is named by a hash of its texts."""
+    texts, others, kind, size = [], [], None, 0
+    for batch in batches:
+        own, other, a = encoded(batch.column(column)), batch.column(1 - column), 0
+        kind = other.type
+        for i, t in enumerate(own):
+            size += len(t)
+            if size >= CHUNK:
+                texts += own[a : i + 1]
+                yield _name(texts), texts, pa.chunked_array([*others, other.slice(a, i + 1 - a)], kind).combine_chunks()
+                texts, others, a, size = [], [], i + 1, 0
+        texts += own[a:]
+        others.append(other.slice(a))
+    if texts:
+        yield _name(texts), texts, pa.chunked_array(others, kind).combine_chunks()
+
+
+def _count(good, bits: int) -> object:
+    """Packed counts of the chunks of (key, text); key is the id, or where ``good`` is None the flag, and then the chunks ask for nothing."""
+    ask = good is not None
 
-def _count(good) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, WORDS + PAIRS), np.int64)
         ids = good.value if good is not None else None
-        for batch in batches:
-            texts = encoded(batch.column(1))
-            key = batch.column(0)
+        for chunk, texts, key in _chunks(batches, 1):
             if ids is None:
                 target = np.array(key.to_pylist(), bool)
             else:
-                number = key.fill_null(-1).to_numpy()
+                number = key.fill_null(-1).to_numpy(zero_copy_only=False)
                 place = np.minimum(np.searchsorted(ids, number), max(0, len(ids) - 1))
                 target = (ids[place] == number) & key.is_valid().to_numpy(zero_copy_only=False) if len(ids) else np.zeros(len(number), bool)
-            for part in slices(texts):
-                count([texts[i] for i in part], totals[1])
-                if own := [texts[i] for i in part if target[i]]:
-                    count(own, totals[0])
-        used = np.flatnonzero(totals.any(axis=0))
-        for a in range(0, len(used), 100_000):
-            s = used[a : a + 100_000]
-            yield pa.record_batch([pa.array(s.astype(np.int32)), pa.array(totals[0][s]), pa.array(totals[1][s])], names=["slot", "t", "b"])
+            keys, b = _keys(texts)
+            some, times = _keys([texts[i] for i in np.flatnonzero(target)])
+            t = np.zeros(len(keys), np.int64)
+            t[np.searchsorted(keys, some)] = times
+            rows = [(k, chunk if ask else None, s.stop - s.start, _pack_keys(keys[s]), pack(t[s]), pack(b[s])) for k, s in _runs(keys, bits)]
+            yield from _batches(rows, _COUNTS)
 
     return run
 
 
-def fit(docs: DataFrame, target: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> Pair:
-    """The models of ``docs`` (doc_id, text), of which those in ``target`` (doc_id) are the target corpus."""
+def _ask(bits: int) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, texts, _ in _chunks(batches, 1):
+            keys, _ = _keys(texts)
+            yield from _batches([(k, chunk, s.stop - s.start, _pack_keys(keys[s]), None, None) for k, s in _runs(keys, bits)], _COUNTS)
+
+    return run
+
+
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+
+
+def _batches(rows: list[tuple], schema: str, size: int = 1000) -> Iterator[pa.RecordBatch]:
+    fields = [f.split() for f in schema.split(", ")]
+    for a in range(0, len(rows), size):
+        yield pa.record_batch([pa.array([r[j] for r in rows[a : a + size]], _ARROW[kind]) for j, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """The counts of a bucket for every chunk that asks; and as chunk -1 its words and their counts."""
+    rows = list(zip(*(c.to_pylist() for c in table.select(["bucket", "chunk", "n", "keys", "t", "b"]).columns)))
+    counts = [r for r in rows if r[4] is not None]
+    every = np.concatenate([np.zeros(0, np.uint64), *(_unpack_keys(r[3], r[2]) for r in counts)])
+    keys, where = np.unique(every, return_inverse=True)
+    # Sums of whole numbers in doubles: exact up to 2^53.
+    t, b = (np.bincount(where, np.concatenate([np.zeros(0, np.int64), *(unpack(r[j], r[2]) for r in counts)]), len(keys)).astype(np.int64) for j in (4, 5))
+    out, bucket = [], rows[0][0]
+    word = (keys & np.uint64(1)).astype(bool)
+    if len(keys):
+        out.append((-1, bucket, int(word.sum()), 0, pack(t[word].sum(keepdims=True)), pack(b[word].sum(keepdims=True))))
+    for _, chunk, n, packed, _, _ in rows:
+        if chunk is not None:
+            asked = _unpack_keys(packed, n)
+            at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
+            hit = keys[at] == asked if len(keys) else np.zeros(n, bool)
+            own = [np.where(hit, x[at], 0) if len(keys) else np.zeros(n, np.int64) for x in (t, b)]
+            out.append((chunk, bucket, n, _mark(asked), pack(own[0]), pack(own[1])))
+    return pa.Table.from_batches(list(_batches(out, _ANSWERS)))
+
+
+@dataclass
+class Counts:
+    """Packed counts of both corpora, not yet added up, the bits that choose a bucket, and the documents whose chunks the rows are (or None)."""
+
+    rows: DataFrame
+    bits: int
+    docs: DataFrame | None
+
+
+def fit(docs: DataFrame, target: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> Counts:
+    """The counts of ``docs`` (doc_id, text), of which those in ``target`` (doc_id) are the target corpus."""
     spark = docs.sparkSession
     common.text_batches(spark)
     ids = target.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    given, docs = docs, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(0, (size // BUCKET).bit_length())
     few = ids.limit(broadcast_ids + 1).count() <= broadcast_ids
     if few:
         good = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in ids.toLocalIterator()], np.int64)))
@@ -116,34 +215,96 @@ def fit(docs: DataFrame, target: DataFrame, broadcast_ids: int = BROADCAST_IDS)
     else:
         good = None
         rows = docs.join(ids.withColumn("__t", F.lit(True)).hint("shuffle_hash"), "doc_id", "left").select(F.coalesce("__t", F.lit(False)).alias("t"), "text")
-    summed = rows.mapInArrow(_count(good), "slot int, t long, b long").groupBy("slot").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()
-    counts = np.zeros((2, WORDS + PAIRS), np.int64)
-    at = summed.column("slot").to_numpy()
-    counts[0, at], counts[1, at] = summed.column("t").to_numpy(), summed.column("b").to_numpy()
-    return Pair(counts)
+    return Counts(rows.mapInArrow(_count(good, bits), _COUNTS), bits, given if few else None)
+
+
+class Losses:
+    """The losses of tokens under both models, from the words of the background and the tokens of each corpus."""
+
+    def __init__(self, words: int, totals: tuple[int, int]):
+        self.words, self.totals = max(WORDS, words), totals
+
+    def of(self, texts: list[bytes], keys: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each text, and the summed loss (target, background) of each; ``counts`` are those of ``keys``."""
+        w, pair, first, at = hashes(texts)
+        w = np.searchsorted(keys, w)
+        pair = np.searchsorted(keys, np.where(first, keys[w], pair)) if len(w) else w
+        before = np.concatenate([[0], w[:-1]]) if len(w) else w
+        loss = np.empty((2, len(w) + 1))
+        loss[:, 0] = 0
+        for k in (0, 1):
+            one = (counts[k][w] + UNIFORM) / (self.totals[k] + UNIFORM * self.words)
+            two = (counts[k][pair] + BACKOFF * one) / (counts[k][before] + BACKOFF)
+            loss[k, 1:] = -np.log(np.where(first, one, two))
+        ends = np.cumsum(loss, axis=1)
+        return np.diff(at), ends[:, at[1:]] - ends[:, at[:-1]]
+
 
+def _texts() -> object:
+    """The rows of (doc_id, text) with their chunk."""
 
-def _score(models) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = models.value
-        for batch in batches:
-            texts = encoded(batch.column(1))
+        for chunk, texts, ids in _chunks(batches, 1):
             for part in slices(texts):
-                n, loss = pair.losses([texts[i] for i in part])
-                none = n == 0
-                mean = loss / np.maximum(n, 1)
-                yield pa.record_batch(
-                    [batch.column(0).take(pa.array(part)), pa.array(n, pa.int64()), pa.array(mean[0], mask=none), pa.array(mean[1], mask=none), pa.array(np.where(none, 0.0, mean[0] - mean[1]))],
-                    names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-                )
+                yield pa.record_batch([pa.array([chunk] * len(part), pa.int64()), ids.take(pa.array(part)), pa.array([texts[i] for i in part], pa.binary())], names=["chunk", "doc_id", "text"])
 
     return run
 
 
-def scored(docs: DataFrame, models: Pair) -> DataFrame:
+def _score(losses: Losses) -> object:
+    def scores(answers: list[tuple], ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        keys, _ = _keys(texts)
+        if sum(a[0] for a in answers) != len(keys) or int(np.bitwise_xor.reduce(np.array([0, *(a[1] for a in answers)], np.int64))) != _mark(keys):
+            raise RuntimeError("the documents to score were not dealt alike twice; write them first")
+        counts = tuple(np.concatenate([np.zeros(0, np.int64), *(unpack(a[j], a[0]) for a in answers)]) for j in (2, 3))
+        for part in slices(texts):
+            n, loss = losses.of([texts[i] for i in part], keys, counts)
+            none = n == 0
+            mean = loss / np.maximum(n, 1)
+            yield pa.record_batch(
+                [pa.array([ids[i] for i in part], pa.int64()), pa.array(n, pa.int64()), pa.array(mean[0], mask=none), pa.array(mean[1], mask=none), pa.array(np.where(none, 0.0, mean[0] - mean[1]))],
+                names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, answers, ids, texts = None, {}, [], []
+        for batch in batches:
+            for chunk, bucket, n, mark, t, b, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if chunk != now:
+                    if texts or answers:
+                        yield from scores(list(answers.values()), ids, texts)
+                    now, answers, ids, texts = chunk, {}, [], []
+                if bucket == _LAST:
+                    ids.append(doc_id)
+                    texts.append(text)
+                else:
+                    answers[bucket] = (n, mark, t, b)  # chunks of the same texts get the same answers
+        if texts or answers:
+            yield from scores(list(answers.values()), ids, texts)
+
+    return run
+
+
+def scored(docs: DataFrame, models: Counts) -> DataFrame:
     """doc_id, n_tokens, mean losses and their difference for every row of ``docs``."""
-    held = docs.sparkSession.sparkContext.broadcast(models)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(held), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    common.text_batches(docs.sparkSession)
+    same = docs is models.docs
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = models.rows
+    if not same:
+        if models.docs is not None:
+            rows = rows.withColumn("chunk", F.lit(None).cast("long"))
+        rows = rows.unionByName(docs.mapInArrow(_ask(models.bits), _COUNTS))
+    # Written once: the totals below must be known before a token is scored.
+    answers = common.cut(rows.groupBy("bucket").applyInArrow(_answer, _ANSWERS))
+    sums = answers.where("chunk = -1").select("n", "t", "b").toLocalIterator()
+    words, totals = 0, [0, 0]
+    for r in sums:
+        words += r["n"]
+        totals = [totals[0] + int(unpack(r["t"], 1)[0]), totals[1] + int(unpack(r["b"], 1)[0])]
+    rows = docs.mapInArrow(_texts(), "chunk long, doc_id long, text binary").withColumn("bucket", F.lit(_LAST))
+    dealt = answers.where("chunk >= 0").unionByName(rows, allowMissingColumns=True).select("chunk", "bucket", "n", "mark", "t", "b", "doc_id", "text")
+    return dealt.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(_score(Losses(words, tuple(totals))), _SCORES)
 
 
 def op9_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
