@@ -22,9 +22,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on many sites stay in one document; documents that had words and are left without any go."""
+    """Lines on many sites, of one word or more, stay in one document; documents that had words and are left without any go."""
     (prefix,) = common.fresh(docs, "ld_")
-    out = line_dedup.dedup_lines(docs, prefix=prefix)
+    out = line_dedup.dedup_lines(docs, prefix=prefix, min_words=1)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(f"{prefix}n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     emptied = (F.col(f"{prefix}n_removed") > 0) & ~F.col("text").rlike(common.WORD)

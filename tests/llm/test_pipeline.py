@@ -46,6 +46,13 @@ def test_run_is_the_stages(spark, sf, tmp_path):
     assert sorted((r.doc_id, tuple(r.ids)) for r in got.collect()) == sorted((r.doc_id, tuple(r.ids)) for r in want.collect())
 
 
+def test_short_lines_go(spark):
+    rows = [(i, f"own words of text {i} here\n Les.\t", "en", f"s{i}", 0) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert got == {i: t if i == 0 else t.split("\n")[0] for i, t, *_ in rows}
+
+
 def test_hard_tables(spark, folder, tmp_path):  # noqa: F811
     path, _ = folder
     assert len(corpus_pipeline.run(spark, path).columns) == 6

@@ -12,7 +12,8 @@ each task has made distinct; texts themselves are shuffled only for documents th
 lose a line, and only where the table of losses is too large for AQE to broadcast.
 
 Defined results: a null text stays null and has no lines; a null site is a site of
-its own; a line of fewer than ``MIN_WORDS`` words is never boilerplate; a row of null
+its own; a line of fewer than ``min_words`` words (``MIN_WORDS`` in the query,
+1 in the pipeline) is never boilerplate; a row of null
 id keeps its lines and owns none; of repeated ids all rows are treated alike; an
 empty table gives an empty result; other columns pass through.
 """
@@ -41,19 +42,19 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.btrim(line, F.lit(_BLANKS)))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, site hash, line hash) of the lines that may be boilerplate."""
     return (
         docs.where(F.col("doc_id").isNotNull())
         .select("doc_id", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("s"), F.explode(F.split("text", "\n")).alias("x"))
-        .where(F.col("x").rlike(_WORDS % (MIN_WORDS - 1)))
+        .where(F.col("x").rlike(_WORDS % (min_words - 1)))
         .select("doc_id", "s", line_hash(F.col("x")).alias("h"))
     )
 
 
-def boilerplate(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
+def boilerplate(docs: DataFrame, spread: int = SPREAD, min_words: int = MIN_WORDS) -> DataFrame:
     """(h, owner): hash of each boilerplate line and the smallest id that holds it."""
-    lines = _lines(docs.select("doc_id", "source", "text"))
+    lines = _lines(docs.select("doc_id", "source", "text"), min_words)
     # On one site only (nearly all lines): never boilerplate, so no sketch is made. Longs alone, hence one hash aggregate.
     shared = (
         lines.groupBy("h")
@@ -78,12 +79,12 @@ def boilerplate(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
     return shared.join(sure.unionByName(exact), "h")
 
 
-def dedup_lines(docs: DataFrame, spread: int = SPREAD, prefix: str = "") -> DataFrame:
+def dedup_lines(docs: DataFrame, spread: int = SPREAD, prefix: str = "", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` rid of boilerplate, and ``n_lines``, ``n_removed`` behind ``prefix``."""
     # Written once: the flow below reads it on two sides.
-    found = common.cut(boilerplate(docs, spread))
+    found = common.cut(boilerplate(docs, spread, min_words))
     losses = (
-        _lines(docs.select("doc_id", "source", "text"))
+        _lines(docs.select("doc_id", "source", "text"), min_words)
         .join(found, "h")
         .where(F.col("doc_id") != F.col("owner"))
         .groupBy("doc_id")
@@ -93,7 +94,7 @@ def dedup_lines(docs: DataFrame, spread: int = SPREAD, prefix: str = "") -> Data
     losses = losses.select(F.col("doc_id").alias(key), F.col("__lost").alias(lost))
     joined = docs.join(losses, docs["doc_id"] == losses[key], "left").drop(key)
     parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda x: ~(F.array_contains(F.col(lost), line_hash(x)) & x.rlike(_WORDS % (MIN_WORDS - 1))))
+    kept = F.filter(parts, lambda x: ~(F.array_contains(F.col(lost), line_hash(x)) & x.rlike(_WORDS % (min_words - 1))))
     has = F.col(lost).isNotNull()
     return joined.withColumns(
         {
