@@ -123,6 +123,13 @@ def test_languages(spark, docs):
     assert sum(r.lang_pred == lang[r.doc_id] for r in test) / len(test) > 0.95
 
 
+def test_every_language_is_learned(spark):
+    names = [f"l{k:02}" for k in range(70)]
+    rows = [(100 * k + i, f"{chr(97 + k % 26)}{chr(97 + k // 26)}", x) for k, x in enumerate(names) for i in range(12)]
+    m = language.fit(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert m.languages == names and m.p["w"].shape[1] == m.p["b"].shape[0] == 70
+
+
 def test_language_details():
     m = language.train([("the cat and the dog " * 9, "en"), ("le chat et le chien " * 9, "fr")])
     assert language.identify(m, [None, "", "123 ... !", "the the", "x" * 5000])[:3] == [("und", 0.0)] * 3

@@ -21,18 +21,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm import common, gru
 
-#: Documents of each language to learn from, and languages, at most.
+#: Documents of each language to learn from, at most.
 PER_LANGUAGE = 200
-LANGUAGES = 64
 #: Distinct runs of each language to learn from, at most.
 RUNS = 2500
 RUN = 24
@@ -86,9 +84,11 @@ def train(examples: list[tuple[str, str]], seed: int = 7) -> Model:
     if k < 2:
         return model
     data: list[tuple[bytes, int]] = []
+    seen: dict[str, dict[bytes, None]] = {lang: {} for lang in languages}
+    for t, lang in examples:
+        seen[lang].update(dict.fromkeys(runs(t)))
     for i, lang in enumerate(languages):
-        seen = dict.fromkeys(r for t, x in examples if x == lang for r in runs(t))
-        own = list(seen)
+        own = list(seen[lang])
         data += [(own[j], i) for j in rng.permutation(len(own))[:RUNS]]
     opt = gru.Adam(p, 0.01)
     size = 128
@@ -169,13 +169,14 @@ def _identify(model: Model):
 
 
 def fit(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """A model of a bounded sample: of each language the documents of smallest hash among those not held out."""
+    """A model of a sample: of each language, however many there are, the documents of smallest hash among those not held out."""
     ok = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.bucket(F.col("doc_id"), 3) != 1))
-    names = [r[0] for r in ok.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    parts = [ok.where(F.col("lang") == x).select("lang", "doc_id", F.xxhash64("doc_id").alias("__h")).orderBy("__h", "doc_id").limit(per_language) for x in names]
-    if not parts:
+    # Tasks send no more than ``per_language`` rows of a language (a group limit below the window).
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("__h", "doc_id"))
+    picked = ok.select("lang", "doc_id", F.xxhash64("doc_id").alias("__h")).withColumn("__n", place).where(F.col("__n") <= per_language).select("lang", "doc_id").collect()
+    if not picked:
         return Model([], {})
-    chosen = spark.createDataFrame([(r[0], r[1]) for r in reduce(DataFrame.unionByName, parts).collect()], "lang string, doc_id long")
+    chosen = spark.createDataFrame([(r[0], r[1]) for r in picked], "lang string, doc_id long")
     rows = ok.join(F.broadcast(chosen), ["lang", "doc_id"]).select("doc_id", "lang", "text").collect()
     return train([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"]))])
 
