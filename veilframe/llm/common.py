@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,18 +43,71 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable: the session's spark.checkpoint.dir, or where it is unset (tests) a local one."""
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; where it is unset, a local folder under a local master (tests), else an error."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         set_dir = spark.conf.get("spark.checkpoint.dir", None)
+        if not set_dir and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set, and a folder of this machine is none that executors see")
         spark.sparkContext.setCheckpointDir(set_dir or tempfile.mkdtemp(prefix="veilframe-"))
+    return jsc.getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _hadoop(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def cut(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: its lineage ends there. Deleted when the driver ends, or by ``discard``."""
+    spark = df.sparkSession
+    path = path or f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    system, there = _hadoop(spark, path)
+    system.deleteOnExit(there)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and nothing will read again."""
+    for df in cuts:
+        system, there = _hadoop(df.sparkSession, df._cut)
+        system.delete(there, True)
+
+
+#: A key is hot that holds more than this share of the rows, and more than so many; hence at most ``SHARE`` hot keys.
+SHARE, LEAST = 4096, 256
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: str, by: list[str], how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """``left`` joined with ``right`` (a row a key, or few) on the long column ``on``, whatever share of ``left`` a key holds.
+
+    Rows of a hot key are dealt to several tasks by a hash of ``by``, and its row of ``right``
+    goes to each. Hot keys are found by counting ``counted``, a table (``left`` unless given);
+    there are at most ``SHARE``, which bounds what is broadcast.
+    """
+    counted = left if counted is None else counted
+    limit = max(LEAST, counted.count() // SHARE)
+    hot = counted.groupBy(on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit).where(F.col(on).isNotNull()).collect()
+    if not hot:
+        return left.join(right, on, how)
+    parts = F.broadcast(left.sparkSession.createDataFrame([(r[0], -(-r[1] // limit)) for r in hot], f"`{on}` long, __parts int"))
+    dealt = left.join(parts, on, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*by), "__parts").cast("int"), F.lit(0))).drop("__parts")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))
+    copies = right.join(parts, on, "left").withColumn("__salt", every).drop("__parts")
+    return dealt.join(copies, [on, "__salt"], how).drop("__salt")
+
+
+#: So many rows of a few longs are broadcast at most (some tens of MB); beyond that they are shuffled.
+FEW = 300_000
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A table, to be broadcast if it has at most ``FEW`` rows."""
+    return F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table
 
 
 def labelled_sample(

@@ -8,35 +8,43 @@ Jaccard similarity. Registers in bands make buckets of candidates.
 
 How groups of any size stay cheap and whole:
 
-1. Documents of equal shingle sets form a class; one aggregation finds the smallest
-   id of each, and only that representative goes on.
-2. In each bucket, members are compared with one hub, that of the smallest id,
+1. Texts of the same words in the same order (by a cryptographic digest of 128 bits)
+   are one vertex. Vertices are texts, not ids, so an id on rows of unlike texts is
+   several; a vertex is numbered in the order of its smallest id.
+2. In each bucket, members are compared with one hub, the smallest vertex,
    so a bucket of n gives n pairs. Links found that way are contracted to components.
-3. Only pairs of *different* components within a bucket are left; inside a component
-   nothing is to be found. Members whose own shingles (held by no other member) rule out
-   every link are settled by counting; the others are compared block by block, and only
-   links become rows.
+3. Only pairs of *different* components within a bucket are left. Of two sets of n and m
+   shingles that are similar enough, the rarest n - ceil(t n) + 1 and m - ceil(t m) + 1 share
+   one (prefix filter, exact). Members that share such a shingle are compared by their
+   sets as a matrix product, group by group, or in groups of over ``BLOCK`` members
+   shingle by shingle; no pair becomes a row unless it is a link.
 
-Candidates that pass the estimate (a margin of over six standard errors below the
-threshold) are confirmed on the full sets of both texts.
+Every link is confirmed on the full sets of both texts: those with a hub if they pass
+the estimate (a margin of over six standard errors below the threshold), the others
+once their sets of hashes meet the threshold. Keys that hold a large share of the rows
+are dealt to several tasks (``common.salted_join``).
 
 Defined results: null or wordless text: empty set, linked with nothing; fewer words
 than ``width``: the whole sequence is the one shingle; A-Z only are lower-cased;
 words are ``[^\\x20\\x09-\\x0D]+``; repeated rows are copies; a row of null id takes
-part in no link and is kept; an empty table gives an empty result; other columns
-pass through. A single text is taken whole, in memory of about 60 times its bytes.
+part in no link and is kept, its component null; where an id stands on unlike texts, each
+row has the component of its text; an empty table gives an empty result; other columns
+pass through. A text is hashed in pieces of about 1 MiB; its set is held whole.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm import common
+from veilframe.llm.common import cut, discard, salted_join
 from veilframe.llm.components import components
 
 REGISTERS = 96
@@ -88,10 +96,40 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _mix(h ^ (last - first).astype(np.uint64)), np.searchsorted(first, starts)
 
 
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(text: bytes) -> Iterator[bytes]:
+    """``text`` in pieces of about ``SLICE`` bytes that end between words."""
+    a = 0
+    while a < len(text):
+        gap = _GAP.search(text, a + SLICE)
+        b = gap.start() if gap else len(text)
+        yield text[a:b]
+        a = b
+
+
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes``, of a single long text piece by piece."""
+    if len(texts) == 1 and len(texts[0]) > SLICE:
+        words = np.concatenate([word_hashes([p])[0] for p in pieces(texts[0])])
+        return words, np.array([0, len(words)])
+    return word_hashes(texts)
+
+
+def digest(text: bytes) -> bytes:
+    """What texts of the same lower-cased words in the same order have in common, and no others."""
+    h = hashlib.blake2b(digest_size=16)
+    for p in pieces(text):
+        if words := p.lower().split():
+            h.update(b" ".join(words) + b" ")
+    return h.digest()
+
+
 def shingle_hashes(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     with np.errstate(over="ignore"):
-        words, at = word_hashes(texts)
+        words, at = _words(texts)
         weights = _mix(np.arange(11, 11 + width, dtype=np.uint64))
         n = max(0, len(words) - width + 1)
         rolled = np.zeros(n, np.uint64)
@@ -159,29 +197,33 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
 
 
+_SIGNED = "id long, row long, n long, d1 long, d2 long, sig binary"
+
+
 def _sign(width: int):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sig", pa.binary())])
+    schema = pa.schema([(c, pa.binary() if k == "binary" else pa.int64()) for c, k in (x.split() for x in _SIGNED.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            texts = encoded(batch.column(1))
+            texts = encoded(batch.column(2))
             for part in slices(texts):
-                sets = shingle_hashes([texts[i] for i in part], width)
+                own = [texts[i] for i in part]
+                sets = shingle_hashes(own, width)
                 full = [k for k, s in enumerate(sets) if len(s)]
                 sig = registers([sets[k] for k in full]) if full else None
-                n, f, sigs = np.array([len(s) for s in sets]), np.zeros((2, len(sets)), np.uint64), [None] * len(sets)
+                sigs: list = [None] * len(sets)
                 for row, k in enumerate(full):
-                    f[0, k] = _mix(sets[k] ^ np.uint64(0x1F83D9ABFB41BD6B)).sum(dtype=np.uint64)
-                    f[1, k] = _mix(sets[k] * np.uint64(0x9FB21C651E98DF25)).sum(dtype=np.uint64)
                     sigs[k] = sig[row].tobytes()
-                yield pa.record_batch([ids.take(pa.array(part)), pa.array(n, pa.int64()), pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), pa.array(sigs, pa.binary())], schema=schema)
+                d = np.frombuffer(b"".join(map(digest, own)), np.int64).reshape(-1, 2)
+                at = pa.array(part)
+                cols = [batch.column(0).take(at), batch.column(1).take(at), pa.array([len(s) for s in sets], pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sigs, pa.binary())]
+                yield pa.record_batch(cols, schema=schema)
 
     return run
 
 
 def _spell(width: int):
-    """(id, shingle hash) of each distinct shingle."""
+    """(v, shingle hash) of each distinct shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +231,20 @@ def _spell(width: int):
             for part in slices(texts):
                 sets = shingle_hashes([texts[i] for i in part], width)
                 who = np.repeat(ids[part], [len(s) for s in sets])
-                yield pa.record_batch([pa.array(who), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "h"])
+                yield pa.record_batch([pa.array(who), pa.array(np.concatenate(sets).view(np.int64))], names=["v", "h"])
+
+    return run
+
+
+def _pack(width: int):
+    """(v, its set of shingle hashes as bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), encoded(batch.column(1))
+            for part in slices(texts):
+                sets = shingle_hashes([texts[i] for i in part], width)
+                yield pa.record_batch([ids.take(pa.array(part)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["v", "hashes"])
 
     return run
 
@@ -239,9 +294,9 @@ def _confirm(width: int, num: int, den: int):
     return run
 
 
-def _links_within(block: list[tuple], width: int, num: int, den: int, across: bool) -> Iterator[tuple[int, int]]:
-    """Links between different labels among rows (own, id, label, text); ``across``: only from block to block."""
-    sets = shingle_hashes([r[3] for r in block], width)
+def _links_within(block: list[tuple], num: int, den: int, across: bool) -> Iterator[tuple[int, int]]:
+    """Links between different labels among rows (own, v, label, hashes), as many as join what is linked; ``across``: only from block to block."""
+    sets = [r[3] for r in block]
     sizes = np.array([len(s) for s in sets])
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), sizes)
@@ -256,6 +311,7 @@ def _links_within(block: list[tuple], width: int, num: int, den: int, across: bo
         part = np.zeros((len(sets), 2048), np.float32)
         part[row[lo:hi], column[lo:hi] - a] = 1
         both += part @ part.T
+    both = both.astype(np.int64)
     total = sizes[:, None] + sizes[None, :] - both
     near = np.triu(den * both >= num * total, 1)
     label, own = np.array([r[2] for r in block]), np.array([r[0] for r in block])
@@ -273,38 +329,35 @@ def _links_within(block: list[tuple], width: int, num: int, den: int, across: bo
     for i, j in zip(*np.nonzero(near)):
         p, q = find(int(label[i])), find(int(label[j]))
         if p != q:
-            x, y = shingle_set(block[i][3], width), shingle_set(block[j][3], width)
-            if den * len(x & y) >= num * len(x | y):
-                root[max(p, q)] = min(p, q)
-                yield block[i][1], block[j][1]
+            root[max(p, q)] = min(p, q)
+            yield block[i][1], block[j][1]
 
 
-def _compare(width: int, num: int, den: int):
-    """Links within the groups (hub, lo, hi), which come one after another."""
+def _compare(num: int, den: int):
+    """Links within the groups (g, lo, hi), which come one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, block = None, []
 
         def out() -> pa.RecordBatch:
-            pairs = list(_links_within(block, width, num, den, at[1] != at[2])) if len({r[2] for r in block}) > 1 else []
+            pairs = list(_links_within(block, num, den, at[1] != at[2])) if len({r[2] for r in block}) > 1 else []
             return pa.record_batch([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(6)]
-            for hub, lo, hi, own, i, label, text in zip(*cols, encoded(batch.column(6))):
-                if (hub, lo, hi) != at:
+            for g, lo, hi, own, v, label, hashes in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if (g, lo, hi) != at:
                     if block:
                         yield out()
-                    at, block = (hub, lo, hi), []
-                block.append((own, i, label, text))
+                    at, block = (g, lo, hi), []
+                block.append((own, v, label, np.frombuffer(hashes, np.uint64)))
         if block:
             yield out()
 
     return run
 
 
-#: Members of a group that stand in one block.
-BLOCK = 128
+#: Members of a group that are compared at once.
+BLOCK = 256
 _PAIR = "a long, b long"
 
 
@@ -314,116 +367,139 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, width: int = 5, num: int = 80, den: int = 100):
         self.width, self.num, self.den = width, num, den
         common.text_batches(docs.sparkSession)
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.signed = common.cut(self.docs.where("doc_id is not null").mapInArrow(_sign(width), "id long, n long, f1 long, f2 long, sig binary"))
-        self.reps = common.cut(self.signed.where("n > 0").groupBy("f1", "f2", "n", "sig").agg(F.min("id").alias("rep")))
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("row"), "text")
+        self.signed = cut(self.docs.mapInArrow(_sign(width), _SIGNED))
+        able = self.signed.where("n > 0 and id is not null")
+        texts = able.groupBy("d1", "d2", "n", "sig").agg(F.min("id").alias("id"), F.min_by("row", "id").alias("row"))
+        # Numbers in the order of ids: the smallest vertex of a component has its smallest id.
+        self.reps = cut(texts.orderBy("id", "d1", "d2").withColumn("v", F.monotonically_increasing_id()))
 
     def _bands(self) -> DataFrame:
-        """(key, id) for buckets of two representatives at least."""
+        """(key, v, hub) for buckets of two vertices at least; the hub is the smallest."""
         size = 2 * ROWS
         keys = self.reps.select(
-            F.col("rep").alias("id"),
+            "v",
             F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * size + 1, F.lit(size))))).alias("key"),
         )
-        shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-        bands = common.cut(keys.join(shared, "key", "left_semi"))
-        # Texts of candidates only, once. Where an id stands on rows of different texts, the smallest stands for it.
-        ids = bands.select(F.col("id").alias("doc_id")).distinct()
-        self.texts = common.cut(self.docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+        shared = cut(keys.groupBy("key").agg(F.min("v").alias("hub"), F.max("v").alias("hi")).where("hub < hi").select("key", "hub"))
+        bands = cut(salted_join(keys, shared, "key", ["v"]))
+        discard(shared)
         return bands
 
-    def _links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of representatives that are links; each pair is looked at once."""
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        sig = {c: self.reps.select(F.col("rep").alias(c), F.col("n").alias("n" + c), F.col("sig").alias("s" + c)) for c in "ab"}
-        near = common.cut(
-            pairs.join(sig["a"], "a").join(sig["b"], "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_plausible(self.num, self.den), _PAIR)
-        )
-        ta, tb = (self.texts.select(F.col("doc_id").alias(c), F.col("text").alias("t" + c)) for c in "ab")
-        return common.cut(near.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_confirm(self.width, self.num, self.den), _PAIR))
+    def _texts(self, of: DataFrame) -> DataFrame:
+        """(v, text) of the vertices ``of`` (v)."""
+        wanted = cut(self.reps.join(of, "v", "left_semi").select("v", "id", "row"))
+        out = cut(self.docs.join(common.few(wanted), ["id", "row"]).groupBy("v").agg(F.min("text").alias("text")))
+        discard(wanted)
+        return out
+
+    def _near(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs (a, b) whose sizes and registers do not rule a link out."""
+        sig = {c: self.reps.select(F.col("v").alias(c), F.col("n").alias("n" + c), F.col("sig").alias("s" + c)) for c in "ab"}
+        both = salted_join(pairs.join(sig["a"], "a"), sig["b"], "b", ["a"], counted=pairs)
+        return cut(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_plausible(self.num, self.den), _PAIR))
+
+    def _confirmed(self, near: DataFrame) -> DataFrame:
+        """Those pairs (a, b) that are links on the full sets of their texts."""
+        texts = self._texts(near.select(F.col("a").alias("v")).union(near.select("b")).distinct())
+        ta, tb = (texts.select(F.col("v").alias(c), F.col("text").alias("t" + c)) for c in "ab")
+        both = salted_join(near.join(ta, "a"), tb, "b", ["a"], counted=near)
+        out = cut(both.select("a", "b", "ta", "tb").mapInArrow(_confirm(self.width, self.num, self.den), _PAIR))
+        discard(texts)
+        return out
 
     def components(self) -> DataFrame:
-        """(id, component) of the representatives that have a link."""
+        """(id, component) of the vertices that have a link."""
         bands = self._bands()
-        hubs = bands.groupBy("key").agg(F.min("id").alias("hub"))
-        links = self._links(bands.join(hubs, "key").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+        pairs = cut(bands.where("v <> hub").select(F.col("v").alias("a"), F.col("hub").alias("b")).distinct())
+        near = self._near(pairs)
+        links = self._confirmed(near)
         labels = components(links)
-        found = self._rest(self._narrowed(common.cut(self._mixed(bands, labels))))
-        return labels if found.isEmpty() else components(links.unionByName(found))
+        torn = self._torn(bands, labels)
+        discard(bands, pairs, near)
+        if torn.isEmpty():
+            discard(torn, links)
+            return labels
+        found = self._rest(torn)
+        out = labels
+        if not found.isEmpty():
+            out = components(links.unionByName(found))
+            discard(labels)
+        discard(torn, found, links)
+        return out
+
+    @staticmethod
+    def _torn(bands: DataFrame, labels: DataFrame) -> DataFrame:
+        """(hub, v, label) of the buckets whose members lie in different components."""
+        named = cut(bands.join(labels.withColumnRenamed("id", "v"), "v", "left").select("key", "hub", "v", F.coalesce("component", "v").alias("label")))
+        torn = cut(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
+        out = cut(salted_join(named, torn, "key", ["v"], "left_semi").select("hub", "v", "label").distinct())
+        discard(named, torn)
+        return out
 
     def _rest(self, torn: DataFrame) -> DataFrame:
-        """Links (a, b) between different components of ``torn``, as many as join what is linked.
-
-        Buckets of the same hub are taken together, which holds every pair of each once.
-        A group goes to blocks of about ``BLOCK`` members; a task sees two blocks and
-        compares their sets as a matrix product, so no pair becomes a row unless it is a link.
-        """
-        hubs = torn.groupBy("key").agg(F.min("id").alias("hub"))
-        members = common.cut(torn.join(hubs, "key").select("hub", "id", "label").distinct())
-        blocks = members.groupBy("hub").agg(F.ceil(F.count("id") / BLOCK).cast("int").alias("nb"))
-        own = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
-        spread = (
-            members.join(blocks, "hub")
-            .select("hub", "id", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-            .select("hub", "id", "label", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        """Links (a, b) between different labels within a hub's buckets, as many as join what is linked."""
+        texts = self._texts(torn.select("v").distinct())
+        spelled = cut(texts.mapInArrow(_spell(self.width), "v long, h long"))
+        held = cut(spelled.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+        # Rarest first; shingles that no other member has go first of all, and lead to nobody.
+        ranked = salted_join(spelled, held, "h", ["v"], "left").withColumn(
+            "r", F.row_number().over(Window.partitionBy("v").orderBy(F.col("k").asc_nulls_first(), "h"))
         )
-        rows = spread.join(self.texts, spread["id"] == self.texts["doc_id"]).select("hub", "lo", "hi", "own", "id", "label", "text")
-        dealt = rows.repartition("hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi", "own", "id")
-        return common.cut(dealt.mapInArrow(_compare(self.width, self.num, self.den), _PAIR))
-
-    def _narrowed(self, mixed: DataFrame) -> DataFrame:
-        """(key, id, label, n, c) without members that can have no link left to find.
-
-        c counts the shingles of a member that another member of any torn bucket has too.
-        A and B share min(c) at most, so den * |A and B| >= num * |A or B| needs
-        (num + den) * min(c) >= num * (|A| + |B|). A heavily edited copy has too many shingles
-        of its own to meet this with the smallest set of its bucket, and is settled here,
-        without being compared with the rest of its group.
-        """
-        ids = mixed.select(F.col("id").alias("doc_id")).distinct()
-        texts = self.texts.join(ids, "doc_id", "left_semi")
-        lone = (
-            texts.mapInArrow(_spell(self.width), "id long, h long")
-            .groupBy("h").agg(F.count("id").alias("k"), F.min("id").alias("id")).where("k = 1")
-            .groupBy("id").agg(F.count("h").alias("u"))
-        )
-        sizes = self.reps.select(F.col("rep").alias("id"), "n").join(lone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
-        sized = mixed.join(sizes, "id")
-        least = sized.groupBy("key").agg(F.min("n").alias("least"))
-        able = sized.join(least, "key").where((self.num + self.den) * F.col("c") >= self.num * (F.col("n") + F.col("least"))).drop("least")
-        able = common.cut(able)
-        torn = able.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        return able.join(torn, "key", "left_semi")
-
-    @staticmethod
-    def _mixed(bands: DataFrame, labels: DataFrame) -> DataFrame:
-        """(key, id, label) in the buckets whose members lie in different components."""
-        named = bands.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
-        torn = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        return named.join(torn, "key", "left_semi")
+        size = self.reps.select("v", (F.col("n") - F.ceil(F.col("n") * self.num / self.den) + 1).alias("most"))
+        prefix = cut(ranked.where("k is not null").join(size, "v").where("r <= most").select("v", "h"))
+        rows = cut(torn.join(prefix, "v").select("hub", F.xxhash64("hub", "h").alias("g"), "v", "label"))
+        mixed = cut(rows.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("f")).where("lo < hi").select("g", "f"))
+        able = cut(salted_join(rows, mixed, "g", ["v"]))
+        members = cut(able.select("hub", "v", "label").distinct())
+        sizes = cut(members.groupBy("hub").agg(F.count(F.lit(1)).alias("m")))
+        small = members.join(sizes.where(F.col("m") <= BLOCK).select("hub"), "hub", "left_semi")
+        whole = small.select(F.col("hub").alias("g"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("own"), "v", "label")
+        large = salted_join(able, sizes.where(F.col("m") > BLOCK).select("hub"), "hub", ["v"], "left_semi")
+        nb = F.ceil(F.col("f") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("v"), nb).cast("int")
+        spread = large.select("g", "v", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), nb - 1)).alias("other"))
+        parts = spread.select("g", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "v", "label")
+        sets = cut(texts.join(members.select("v").distinct(), "v", "left_semi").mapInArrow(_pack(self.width), "v long, hashes binary"))
+        dealt = whole.unionByName(parts).join(sets, "v").select("g", "lo", "hi", "own", "v", "label", "hashes")
+        dealt = dealt.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi", "own", "v")
+        near = cut(dealt.mapInArrow(_compare(self.num, self.den), _PAIR).distinct())
+        discard(texts, spelled, held, prefix, rows, mixed, able, members, sizes, sets)
+        found = self._confirmed(near)
+        discard(near)
+        return found
 
     def membership(self) -> DataFrame:
-        """(id, n, component) of every row with an id."""
+        """(id, row, n, v, root, component) of every row: its vertex, the smallest of its component, and that one's id."""
         found = self.components()
-        classes = (
-            self.reps.join(found, self.reps["rep"] == found["id"], "left")
-            .select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
-        )
-        empty = self.signed.where("n = 0").select("id", "n", F.col("id").alias("component"))
-        return self.signed.where("n > 0").join(classes, ["f1", "f2", "n"]).select("id", "n", "component").unionByName(empty)
+        roots = self.reps.select(F.col("v").alias("root"), F.col("id").alias("component"))
+        named = cut(self.reps.select("d1", F.col("d2").alias("e2"), "v").join(found.withColumnRenamed("id", "v"), "v", "left").select("d1", "e2", "v", F.coalesce("component", "v").alias("root")))
+        classes = cut(salted_join(named, roots, "root", ["v"]))
+        discard(found, named)
+        able = self.signed.select("id", "row", "n", "d1", "d2").where("n > 0 and id is not null")
+        linked = salted_join(able, classes, "d1", ["id"]).where("d2 = e2").select("id", "row", "n", "v", "root", "component")
+        alone = self.signed.where("n = 0 or id is null")
+        none = F.lit(None).cast("long")
+        return linked.unionByName(alone.select("id", "row", "n", none.alias("v"), none.alias("root"), F.col("id").alias("component")))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs`` with an id."""
+    """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
     return NearDuplicates(docs, width, num, den).membership().select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept")
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept")
     )
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` without the rows whose group has a document of a smaller id; of repeated rows of an id all stay."""
-    gone = near_duplicates(docs, width, num, den).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """``docs`` with one text of each group, that of the smallest id; repeated rows of that text and id all stay.
+
+    Rows go by id and text, so an unlike text under the id of one that goes stays. What goes is
+    written first, and broadcast where it is small, so texts are not shuffled then.
+    """
+    key, row = common.fresh(docs, "gone", "row")
+    lost = NearDuplicates(docs, width, num, den).membership().where("v <> root or id <> component").select(F.col("id").alias(key), F.col("row").alias(row)).distinct()
+    gone = common.few(cut(lost))
+    return docs.join(gone, (docs["doc_id"] == gone[key]) & (F.xxhash64(docs["text"]) == gone[row]), "left_anti")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
