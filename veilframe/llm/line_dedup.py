@@ -1,21 +1,21 @@
 """Line dedup by distinct-site spread.
 
 A line (blanks at its ends do not count) that stands on many distinct sites is
-boilerplate. Every line hash gets a HyperLogLog sketch of its sites; sketches of
-tasks merge by aggregation, so a line that holds a third of all rows is a few
-hundred bytes from each task. Lines whose estimate lies near the threshold get an
-exact distinct count. Boilerplate stays in the document of the smallest id that
-holds it and goes from all others.
+boilerplate. (line, site) pairs are made distinct under an exchange on both, so neither a
+line nor a site that holds a third of all rows is one task's work. Each task then sketches the
+sites of its lines (HyperLogLog), and sketches, not rows, meet by line. Lines whose estimate
+lies near the threshold get an exact distinct count. Boilerplate stays in the document
+of the smallest id that holds it and goes from all others.
 
-Built-in functions only. Sites of one line are counted on (hash, site) pairs that
-each task has made distinct; texts themselves are shuffled only for documents that
-lose a line, and only where the table of losses is too large for AQE to broadcast.
+Built-in functions only. Texts themselves are shuffled once, to meet the lines that they
+lose, and not at all where the table of losses is small enough to be broadcast.
 
 Defined results: a null text stays null and has no lines; a null site is a site of
-its own; a line of fewer than ``min_words`` words (``MIN_WORDS`` in the query,
-1 in the pipeline) is never boilerplate; a row of null
+its own; a line without a word is never boilerplate (nor one of fewer than ``min_words``
+words, if more are asked for); a row of null
 id keeps its lines and owns none; of repeated ids all rows are treated alike; an
-empty table gives an empty result; other columns pass through.
+empty table gives an empty result; other columns pass through, but for one named like
+an output column, which the output takes the place of.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from veilframe.llm import common
 
 #: Distinct sites from which on a line is boilerplate.
 SPREAD = 8
-MIN_WORDS = 3
+MIN_WORDS = 1
 #: log2 of a sketch's registers: a standard error of 1.04 / sqrt(4096) = 1.6 %.
 LG_K = 12
 #: Estimates within this share of the threshold are counted exactly (over 15 standard errors).
@@ -55,43 +55,51 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
 def boilerplate(docs: DataFrame, spread: int = SPREAD, min_words: int = MIN_WORDS) -> DataFrame:
     """(h, owner): hash of each boilerplate line and the smallest id that holds it."""
     lines = _lines(docs.select("doc_id", "source", "text"), min_words)
-    # On one site only (nearly all lines): never boilerplate, so no sketch is made. Longs alone, hence one hash aggregate.
-    shared = (
-        lines.groupBy("h")
-        .agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.min("doc_id").alias("owner"))
+    pairs = common.cut(lines.groupBy("h", "s").agg(F.min("doc_id").alias("owner")))
+    # On one site only (nearly all lines): never boilerplate, so no sketch is made. Longs alone, hence hash aggregates that combine in each task.
+    shared = common.cut(
+        pairs.groupBy("h")
+        .agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.min("owner").alias("owner"))
         .where("lo <> hi" if spread > 1 else "true")
         .select("h", "owner")
     )
-    wide = lines.join(shared.select("h"), "h", "left_semi")
-    sketched = wide.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("s", LG_K)).alias("n"))
+    wide = common.cut(common.salted_join(pairs.select("h", "s"), shared.select("h"), "h", ["s"], "left_semi"))
+    sketched = common.cut(sketches(wide))
     low, high = spread * (1 - NEAR), spread * (1 + NEAR)
     sure = sketched.where(F.col("n") > high).select("h")
     near = sketched.where(F.col("n").between(low, high)).select("h")
     exact = (
-        wide.join(near, "h", "left_semi")
-        .groupBy("h", "s")
-        .agg(F.lit(1).alias("one"))
+        common.salted_join(wide, near, "h", ["s"], "left_semi")  # its rows are distinct
         .groupBy("h")
-        .agg(F.count("one").alias("n"))
+        .agg(F.count("s").alias("n"))
         .where(F.col("n") >= spread)
         .select("h")
     )
-    return shared.join(sure.unionByName(exact), "h")
+    found = common.cut(shared.join(sure.unionByName(exact), "h"))
+    common.discard(pairs, shared, wide, sketched)
+    return found
+
+
+def sketches(wide: DataFrame) -> DataFrame:
+    """(h, n): estimated sites of each line of a table (h, s); each task sketches what it reads, and sketches merge by line."""
+    return wide.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("s", LG_K)).alias("n"))
 
 
 def dedup_lines(docs: DataFrame, spread: int = SPREAD, prefix: str = "", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` rid of boilerplate, and ``n_lines``, ``n_removed`` behind ``prefix``."""
-    # Written once: the flow below reads it on two sides.
-    found = common.cut(boilerplate(docs, spread, min_words))
-    losses = (
-        _lines(docs.select("doc_id", "source", "text"), min_words)
-        .join(found, "h")
-        .where(F.col("doc_id") != F.col("owner"))
-        .groupBy("doc_id")
-        .agg(F.collect_set("h").alias("__lost"))
-    )
+    found = boilerplate(docs, spread, min_words)
+    lines = _lines(docs.select("doc_id", "source", "text"), min_words).select("doc_id", "h")
+    small = found.limit(common.FEW + 1).count() <= common.FEW
+    if small:
+        met = lines.join(F.broadcast(found), "h")
+    else:
+        lines = common.cut(lines)
+        met = common.salted_join(lines, found, "h", ["doc_id"])
+    losses = common.cut(met.where(F.col("doc_id") != F.col("owner")).groupBy("doc_id").agg(F.collect_set("h").alias("__lost")))
     lost, key = common.fresh(docs, "lost", "key")
     losses = losses.select(F.col("doc_id").alias(key), F.col("__lost").alias(lost))
+    # An array of a document's lost lines each: a tenth of the rows that ``few`` allows.
+    losses = F.broadcast(losses) if losses.limit(common.FEW // 10 + 1).count() <= common.FEW // 10 else losses
     joined = docs.join(losses, docs["doc_id"] == losses[key], "left").drop(key)
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda x: ~(F.array_contains(F.col(lost), line_hash(x)) & x.rlike(_WORDS % (min_words - 1))))
