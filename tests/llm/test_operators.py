@@ -445,39 +445,41 @@ def test_cross_entropy_difference(spark, limit):
     good = spark.createDataFrame([(i,) for i in range(0, 50, 3)] * 2, "doc_id long")
     got = {r.doc_id: r for r in cross_entropy.scored(df, cross_entropy.fit(df, good, limit)).collect()}
     low = lambda t: [w.replace("C", "c") for w in (t or "").split()]
-    models = []
-    for part in ([t for i, t in rows if i is not None and i < 50 and i % 3 == 0], [t for _, t in rows]):
-        one, two = Counter(), Counter()
-        for t in part:
-            w = low(t)
-            one.update(w)
-            two.update(zip(w, w[1:]))
-        models.append((one, two))
+    is_target = lambda i: i is not None and i < 50 and i % 3 == 0
+    parts = [[r for r in rows if is_target(r[0])], rows]
+    size = [sum(len(low(t)) for _, t in part) for part in parts]
     for i, t in rows:
         w, loss = low(t), []
-        for one, two in models:
-            p1 = lambda x: (one[x] + cross_entropy.UNIFORM) / (sum(one.values()) + cross_entropy.UNIFORM * cross_entropy.WORDS)  # noqa: B023, E731
-            loss.append(sum(-math.log(p1(x) if k == 0 else (two[w[k - 1], x] + cross_entropy.BACKOFF * p1(x)) / (one[w[k - 1]] + cross_entropy.BACKOFF)) for k, x in enumerate(w)))
+        for part, scale in zip(parts, (1, size[0] / size[1])):  # both models anew, without this document
+            one, two = Counter(), Counter()
+            for j, u in part:
+                if j != i:
+                    one.update(low(u))
+                    two.update(zip(low(u), low(u)[1:]))
+            p1 = lambda x: (one[x] * scale + cross_entropy.UNIFORM) / (sum(one.values()) * scale + cross_entropy.UNIFORM * cross_entropy.WORDS)  # noqa: B023, E731
+            loss.append(sum(-math.log(p1(x) if k == 0 else (two[w[k - 1], x] * scale + cross_entropy.BACKOFF * p1(x)) / (one[w[k - 1]] * scale + cross_entropy.BACKOFF)) for k, x in enumerate(w)))
         r = got[i]
         assert r.n_tokens == len(w)
         if w:
-            assert (r.target_loss, r.background_loss, r.score) == pytest.approx((loss[0] / len(w), loss[1] / len(w), (loss[0] - loss[1]) / len(w)), rel=1e-3, abs=1e-3)
+            assert (r.target_loss, r.background_loss, r.score) == pytest.approx((loss[0] / len(w), loss[1] / len(w), (loss[0] - loss[1]) / len(w)), rel=1e-6, abs=1e-6)
         else:
             assert (r.target_loss, r.background_loss, r.score) == (None, None, 0.0)
 
 
 def test_cross_entropy_tells_all_words_apart(spark):
-    # More distinct words than a fixed table of 2^18 has slots: a word or pair that stands once is counted once.
-    rows = [(i, " ".join(f"w{i * 1000 + j}" for j in range(1000))) for i in range(300)]
+    # More distinct words than a fixed table of 2^18 has slots: a word or pair that stands once in another copy is counted once.
+    rows = [(i, " ".join(f"w{i % 300 * 1000 + j}" for j in range(1000))) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    good = spark.createDataFrame([(0,)], "doc_id long")
-    one = (1 + cross_entropy.UNIFORM) / (300_000 * (1 + cross_entropy.UNIFORM))
-    two = (1 + cross_entropy.BACKOFF * one) / (1 + cross_entropy.BACKOFF)
-    want = -(math.log(one) + 999 * math.log(two)) / 1000
-    got = cross_entropy.scored(df, cross_entropy.fit(df, good)).collect()
-    assert len(got) == 300 and all(r.background_loss == pytest.approx(want, rel=1e-9) for r in got)
-    # Other rows than those counted ask for themselves.
-    again = cross_entropy.scored(df.where("doc_id < 9"), cross_entropy.fit(df, good)).collect()
+    none = spark.createDataFrame([], "doc_id long")
+    u, b = cross_entropy.UNIFORM, cross_entropy.BACKOFF
+    one = (1 + u) / (599_000 + u * 300_000)
+    want = -(math.log(one) + 999 * math.log((1 + b * one) / (1 + b))) / 1000
+    got = cross_entropy.scored(df, cross_entropy.fit(df, none)).collect()
+    assert len(got) == 600 and all(r.background_loss == pytest.approx(want, rel=1e-9) for r in got)
+    # Other rows than those counted ask for themselves, and nothing is taken off.
+    one = (2 + u) / (600_000 + u * 300_000)
+    want = -(math.log(one) + 999 * math.log((2 + b * one) / (2 + b))) / 1000
+    again = cross_entropy.scored(df.where("doc_id < 9"), cross_entropy.fit(df, none)).collect()
     assert len(again) == 9 and all(r.background_loss == pytest.approx(want, rel=1e-9) for r in again)
 
 

@@ -1,8 +1,11 @@
 """Language-model scoring by cross-entropy difference.
 
 Two interpolated bigram models, one of a target corpus (documents labelled good) and
-one of the background (all documents). Both count every token of their corpus. A
-document's score is the mean over its tokens of the target loss less the background
+one of the background (all documents). Both count every token of their corpus, share one
+vocabulary and their smoothing, and are matched in size: background counts are scaled to the
+target's number of tokens, as a sample of that size would have them on average. A document
+is scored without itself: what it added to a model is taken off first. Its score is
+the mean over its tokens of the target loss less the background
 loss: lower means more like the target than the corpus at large is.
 
 Words and pairs of words are counted under 63-bit hashes and one bit that tells the two
@@ -11,17 +14,17 @@ driver. Tasks cut their rows into chunks of about ``CHUNK`` bytes and send the d
 hashes of each with their counts, packed by bucket of leading hash bits (the number of
 buckets follows the text). Each bucket adds up its counts and answers every chunk in the
 order of its hashes, and the answers meet the texts of the chunk. Where other documents
-are scored than were counted, or the flag is joined, chunks send the hashes they ask for
-in the same way. Sending and scoring cut the rows of ``docs`` into chunks independently,
+are scored than were counted, chunks send the hashes they ask for
+in the same way (such documents added nothing, so nothing is taken off). Sending and scoring cut the rows of ``docs`` into chunks independently,
 so its partitions must be reproducible, as those of files are; a chunk whose answers do
 not fit its texts is an error.
 
-Target ids go as a sorted array where there are at most ``BROADCAST_IDS``, else the flag
-is joined.
+Whether a document is target is joined: by a broadcast of the ids where there are at most
+``BROADCAST_IDS``, else by a shuffle, whose result is written first so that it can be read alike twice.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text
 without words, or null, has 0 tokens, null losses and score 0; without target
-documents both models of a token differ by smoothing alone; repeated rows count and
+documents the target model knows nothing but smoothing, and nothing is scaled; repeated rows count and
 are scored each; an id labelled good on any row is target; a null doc_id is background;
 an empty table gives an empty result.
 """
@@ -128,24 +131,17 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[in
         yield _name(texts), texts, pa.chunked_array(others, kind).combine_chunks()
 
 
-def _count(good, bits: int) -> object:
-    """Packed counts of the chunks of (key, text); key is the id, or where ``good`` is None the flag, and then the chunks ask for nothing."""
-    ask = good is not None
+def _count(bits: int) -> object:
+    """Packed counts of the chunks of (key, text); key is (doc_id, whether it is target)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = good.value if good is not None else None
         for chunk, texts, key in _chunks(batches, 1):
-            if ids is None:
-                target = np.array(key.to_pylist(), bool)
-            else:
-                number = key.fill_null(-1).to_numpy(zero_copy_only=False)
-                place = np.minimum(np.searchsorted(ids, number), max(0, len(ids) - 1))
-                target = (ids[place] == number) & key.is_valid().to_numpy(zero_copy_only=False) if len(ids) else np.zeros(len(number), bool)
+            target = key.field("target").to_numpy(zero_copy_only=False)
             keys, b = _keys(texts)
             some, times = _keys([texts[i] for i in np.flatnonzero(target)])
             t = np.zeros(len(keys), np.int64)
             t[np.searchsorted(keys, some)] = times
-            rows = [(k, chunk if ask else None, s.stop - s.start, _pack_keys(keys[s]), pack(t[s]), pack(b[s])) for k, s in _runs(keys, bits)]
+            rows = [(k, chunk, s.stop - s.start, _pack_keys(keys[s]), pack(t[s]), pack(b[s])) for k, s in _runs(keys, bits)]
             yield from _batches(rows, _COUNTS)
 
     return run
@@ -193,29 +189,31 @@ def _answer(table: pa.Table) -> pa.Table:
 
 @dataclass
 class Counts:
-    """Packed counts of both corpora, not yet added up, the bits that choose a bucket, and the documents whose chunks the rows are (or None)."""
+    """Packed counts of both corpora, not yet added up, the bits that choose a bucket, the documents counted, and those with the flag."""
 
     rows: DataFrame
     bits: int
-    docs: DataFrame | None
+    docs: DataFrame
+    flagged: DataFrame
+
+
+def _keyed(flagged: DataFrame) -> DataFrame:
+    return flagged.select(F.struct("doc_id", "target").alias("key"), "text")
 
 
 def fit(docs: DataFrame, target: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> Counts:
     """The counts of ``docs`` (doc_id, text), of which those in ``target`` (doc_id) are the target corpus."""
-    spark = docs.sparkSession
-    common.text_batches(spark)
-    ids = target.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    given, docs = docs, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    common.text_batches(docs.sparkSession)
+    ids = target.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, (size // BUCKET).bit_length())
-    few = ids.limit(broadcast_ids + 1).count() <= broadcast_ids
-    if few:
-        good = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in ids.toLocalIterator()], np.int64)))
-        rows = docs.select("doc_id", "text")
-    else:
-        good = None
-        rows = docs.join(ids.withColumn("__t", F.lit(True)).hint("shuffle_hash"), "doc_id", "left").select(F.coalesce("__t", F.lit(False)).alias("t"), "text")
-    return Counts(rows.mapInArrow(_count(good, bits), _COUNTS), bits, given if few else None)
+    small = ids.limit(broadcast_ids + 1).count() <= broadcast_ids
+    met = own.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), "doc_id", "left")
+    flagged = met.select("doc_id", F.coalesce("target", F.lit(False)).alias("target"), "text")
+    if not small:
+        flagged = common.cut(flagged)
+    return Counts(_keyed(flagged).mapInArrow(_count(bits), _COUNTS), bits, docs, flagged)
 
 
 class Losses:
@@ -223,42 +221,60 @@ class Losses:
 
     def __init__(self, words: int, totals: tuple[int, int]):
         self.words, self.totals = max(WORDS, words), totals
+        self.scale = 1.0, totals[0] / totals[1] if totals[0] else 1.0
 
-    def of(self, texts: list[bytes], keys: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of each text, and the summed loss (target, background) of each; ``counts`` are those of ``keys``."""
+    def of(self, texts: list[bytes], keys: np.ndarray, counts: tuple[np.ndarray, np.ndarray], added: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each text, and the summed loss (target, background) of each.
+
+        ``counts`` are those of ``keys``; ``added`` tells of each text whether it is among what either model counted.
+        """
         w, pair, first, at = hashes(texts)
+        n = np.diff(at)
+        if not len(w):
+            return n, np.zeros((2, len(texts)))
+        whose = np.repeat(np.arange(len(texts)), n)
         w = np.searchsorted(keys, w)
-        pair = np.searchsorted(keys, np.where(first, keys[w], pair)) if len(w) else w
-        before = np.concatenate([[0], w[:-1]]) if len(w) else w
+        pair = np.searchsorted(keys, np.where(first, keys[w], pair))
+        # How often a text holds each of its own words and pairs; keys of words and of pairs differ.
+        size = len(keys)
+        own, where, times = np.unique(np.concatenate([whose * size + w, (whose * size + pair)[~first]]), return_inverse=True, return_counts=True)
+        own_w = times[where[: len(w)]]
+        own_pair = np.zeros(len(w), np.int64)
+        own_pair[~first] = times[where[len(w) :]]
+        before, own_before = np.concatenate([[0], w[:-1]]), np.concatenate([[0], own_w[:-1]])
         loss = np.empty((2, len(w) + 1))
         loss[:, 0] = 0
         for k in (0, 1):
-            one = (counts[k][w] + UNIFORM) / (self.totals[k] + UNIFORM * self.words)
-            two = (counts[k][pair] + BACKOFF * one) / (counts[k][before] + BACKOFF)
+            off = np.repeat(added[k], n).astype(np.int64)
+            total = (self.totals[k] - off * np.repeat(n, n)) * self.scale[k]
+            one = ((counts[k][w] - off * own_w) * self.scale[k] + UNIFORM) / (total + UNIFORM * self.words)
+            two = ((counts[k][pair] - off * own_pair) * self.scale[k] + BACKOFF * one) / ((counts[k][before] - off * own_before) * self.scale[k] + BACKOFF)
             loss[k, 1:] = -np.log(np.where(first, one, two))
         ends = np.cumsum(loss, axis=1)
-        return np.diff(at), ends[:, at[1:]] - ends[:, at[:-1]]
+        return n, ends[:, at[1:]] - ends[:, at[:-1]]
 
 
 def _texts() -> object:
-    """The rows of (doc_id, text) with their chunk."""
+    """The rows of (key, text) with their chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, texts, ids in _chunks(batches, 1):
+        for chunk, texts, key in _chunks(batches, 1):
             for part in slices(texts):
-                yield pa.record_batch([pa.array([chunk] * len(part), pa.int64()), ids.take(pa.array(part)), pa.array([texts[i] for i in part], pa.binary())], names=["chunk", "doc_id", "text"])
+                own = key.take(pa.array(part))
+                yield pa.record_batch([pa.array([chunk] * len(part), pa.int64()), own.field("doc_id"), own.field("target"), pa.array([texts[i] for i in part], pa.binary())], names=["chunk", "doc_id", "target", "text"])
 
     return run
 
 
-def _score(losses: Losses) -> object:
-    def scores(answers: list[tuple], ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _score(losses: Losses, counted: bool) -> object:
+    def scores(answers: list[tuple], ids: list, target: list[bool], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         keys, _ = _keys(texts)
         if sum(a[0] for a in answers) != len(keys) or int(np.bitwise_xor.reduce(np.array([0, *(a[1] for a in answers)], np.int64))) != _mark(keys):
             raise RuntimeError("the documents to score were not dealt alike twice; write them first")
         counts = tuple(np.concatenate([np.zeros(0, np.int64), *(unpack(a[j], a[0]) for a in answers)]) for j in (2, 3))
         for part in slices(texts):
-            n, loss = losses.of([texts[i] for i in part], keys, counts)
+            added = np.array([target[i] and counted for i in part]), np.full(len(part), counted)
+            n, loss = losses.of([texts[i] for i in part], keys, counts, added)
             none = n == 0
             mean = loss / np.maximum(n, 1)
             yield pa.record_batch(
@@ -267,20 +283,21 @@ def _score(losses: Losses) -> object:
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, answers, ids, texts = None, {}, [], []
+        now, answers, ids, target, texts = None, {}, [], [], []
         for batch in batches:
-            for chunk, bucket, n, mark, t, b, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for chunk, bucket, n, mark, t, b, doc_id, flag, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if chunk != now:
                     if texts or answers:
-                        yield from scores(list(answers.values()), ids, texts)
-                    now, answers, ids, texts = chunk, {}, [], []
+                        yield from scores(list(answers.values()), ids, target, texts)
+                    now, answers, ids, target, texts = chunk, {}, [], [], []
                 if bucket == _LAST:
                     ids.append(doc_id)
+                    target.append(flag)
                     texts.append(text)
                 else:
                     answers[bucket] = (n, mark, t, b)  # chunks of the same texts get the same answers
         if texts or answers:
-            yield from scores(list(answers.values()), ids, texts)
+            yield from scores(list(answers.values()), ids, target, texts)
 
     return run
 
@@ -288,13 +305,12 @@ def _score(losses: Losses) -> object:
 def scored(docs: DataFrame, models: Counts) -> DataFrame:
     """doc_id, n_tokens, mean losses and their difference for every row of ``docs``."""
     common.text_batches(docs.sparkSession)
-    same = docs is models.docs
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = models.rows
-    if not same:
-        if models.docs is not None:
-            rows = rows.withColumn("chunk", F.lit(None).cast("long"))
-        rows = rows.unionByName(docs.mapInArrow(_ask(models.bits), _COUNTS))
+    same, rows = docs is models.docs, models.rows
+    if same:
+        docs = models.flagged
+    else:
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(False).alias("target"), "text")
+        rows = rows.withColumn("chunk", F.lit(None).cast("long")).unionByName(_keyed(docs).mapInArrow(_ask(models.bits), _COUNTS))
     # Written once: the totals below must be known before a token is scored.
     answers = common.cut(rows.groupBy("bucket").applyInArrow(_answer, _ANSWERS))
     sums = answers.where("chunk = -1").select("n", "t", "b").toLocalIterator()
@@ -302,9 +318,9 @@ def scored(docs: DataFrame, models: Counts) -> DataFrame:
     for r in sums:
         words += r["n"]
         totals = [totals[0] + int(unpack(r["t"], 1)[0]), totals[1] + int(unpack(r["b"], 1)[0])]
-    rows = docs.mapInArrow(_texts(), "chunk long, doc_id long, text binary").withColumn("bucket", F.lit(_LAST))
-    dealt = answers.where("chunk >= 0").unionByName(rows, allowMissingColumns=True).select("chunk", "bucket", "n", "mark", "t", "b", "doc_id", "text")
-    return dealt.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(_score(Losses(words, tuple(totals))), _SCORES)
+    rows = _keyed(docs).mapInArrow(_texts(), "chunk long, doc_id long, target boolean, text binary").withColumn("bucket", F.lit(_LAST))
+    dealt = answers.where("chunk >= 0").unionByName(rows, allowMissingColumns=True).select("chunk", "bucket", "n", "mark", "t", "b", "doc_id", "target", "text")
+    return dealt.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(_score(Losses(words, tuple(totals)), same), _SCORES)
 
 
 def op9_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
