@@ -236,14 +236,72 @@ def test_decontamination_finds_edited_items(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = decontaminate.contaminations(df, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert want <= {(r.doc_id, r.item_id) for r in got} and (None, 0) in {(r.doc_id, r.item_id) for r in got}
-    text, item = dict(docs), dict(items)
+    text, item, best = dict(docs), dict(items), {}
     for r in got:  # each is within the budget, by an alignment of its own
         a = decontaminate.normalise(text[r.doc_id][r.start : r.end])[0].tolist()
-        b = decontaminate.normalise(item[r.item_id])[0].tolist()
-        assert _edits(a, b) <= decontaminate.budget(len(b)) + 1
+        b = decontaminate._trim(decontaminate.normalise(item[r.item_id])[0]).tolist()
+        assert _edits(a, b) <= decontaminate.budget(len(b))
+        best[r.doc_id, r.item_id] = min(r.edits, best.get((r.doc_id, r.item_id), 99))
+    # Every text and every item, by alignment over the whole table: the same pairs and the same least edits.
+    brute = {}
+    for d, t in docs:
+        for i, u in items:
+            a, b = (decontaminate._trim(decontaminate.normalise((x or "").strip())[0]) for x in (t, u))
+            if len(a) and len(b):
+                if len(b) < decontaminate.MIN_CHARS:
+                    hit = f" {decontaminate._text(b)} " in f" {decontaminate._text(a)} "
+                    brute |= {(d, i): 0} if hit else {}
+                elif (e := _least(a, b)) <= decontaminate.budget(len(b)):
+                    brute[d, i] = e
+    assert best == brute
     assert {r.doc_id for r in decontaminate.clean(df, spark.createDataFrame(items, "item_id long, text string")).collect()} >= {100, 101, None}
 
 
+def _least(text, item):
+    """Least edits of ``item`` anywhere in ``text``."""
+    row = np.zeros(len(text) + 1, np.int64)
+    j = np.arange(len(text) + 1)
+    for i, x in enumerate(item, 1):
+        new = np.empty_like(row)
+        new[0] = i
+        new[1:] = np.minimum(row[:-1] + (text != x), row[1:] + 1)
+        row = np.minimum.accumulate(new - j) + j
+    return int(row.min())
+
+
+def test_short_items_stand_exactly_between_words(spark):
+    items = [(1, "tiny"), (2, "A b!"), (3, "x"), (4, "exactly twenty chars"), (5, "😀"), (6, "日本")]
+    texts = [(1, "a TINY thing"), (2, "tinyx xtiny"), (3, "see a, b? and x"), (4, "exactly twenty  chars!"), (5, "exactly twenti chars"), (6, "😀 日本 😀"), (7, "a b a b")]
+    df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, dict(texts)[r.doc_id][r.start : r.end]) for r in decontaminate.contaminations(df, bench).collect())
+    assert got == [(1, 1, "TINY"), (3, 2, "a, b"), (3, 3, "x"), (4, 4, "exactly twenty  chars"), (6, 6, "日本"), (7, 2, "a b"), (7, 2, "a b")]
+
+
+def test_a_phrase_that_all_items_and_places_share_takes_bounded_memory():
+    import tracemalloc
+
+    phrase = "please answer the following question with care"
+    rng = random.Random(8)
+    items = [(i, f"{phrase} {' '.join(rng.choice('abcdefgh') * 3 + str(rng.randrange(99)) for _ in range(20))}") for i in range(3000)]
+    ix = decontaminate.Index(items)
+    text = (phrase + " ") * 420 + items[7][1]
+    tracemalloc.start()
+    got = list(decontaminate._scan_docs([ix], [(1, 1, text)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 7 in got[0].column("item_id").to_pylist() and peak < 300e6
+    # One item and one text of a single letter: every position meets every other.
+    got = list(decontaminate._scan_docs([decontaminate.Index([(1, "a" * 900)])], [(1, 1, "a" * 30_000)]))
+    assert got[0].column("edits").to_pylist()[0] == 0
+
+
+def test_clean_goes_by_text(spark):
+    item = "the quick brown fox jumps over the lazy dog and runs away"
+    df = spark.createDataFrame([(4, "so " + item), (4, "clean text"), (None, item), (5, None)], "doc_id long, text string")
+    got = decontaminate.clean(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, [(4, "clean text"), (None, item), (5, None)]))
+
+
 def _edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

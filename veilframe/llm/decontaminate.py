@@ -5,14 +5,20 @@ that are neither letters nor digits is one space. An item of m characters found
 within k edits shares at least m + 1 - q - k * q of its character q-grams with the
 text, on diagonals (text position - item position) no further apart than k. Shared
 q-grams are therefore counted in bands of 2k + 1 diagonals that overlap by k; bands
-that meet the bound are verified by an alignment confined to the band.
+that meet the bound are verified by an alignment confined to the band. Counts are taken
+per item first, then per band for some items at a time, so a phrase that many items and
+many places share takes no more memory than another.
+
+An item of fewer than ``MIN_CHARS`` normalised characters is evidence only where it stands
+exactly and between words: an automaton of all such items finds these places.
 
 The benchmark is the stated query set: its q-gram index goes to every task in blocks
-of ``BLOCK_CHARS`` characters (a checked bound; a larger benchmark takes more blocks, each a
-scan of its own), so documents are only scanned, never shuffled, whatever their number.
+of ``BLOCK_CHARS`` characters, ``PER_SCAN`` of them at a time (a checked bound; a larger benchmark
+takes more scans). Documents are only scanned to find passages; ``clean`` shuffles them
+only if the documents to go are too many to be broadcast.
 
-Defined results: null, empty and very short items (fewer than ``MIN_CHARS`` normalised
-characters) are no evidence and are left out; null and empty texts hold no match; a
+Defined results: null items and those without a letter or digit
+are no evidence and are left out; null and empty texts hold no match; a
 row of null doc_id is reported with null; repeated rows each give their matches; of
 equal items each is reported; an empty table gives an empty result; texts are scanned
 whole in pieces that overlap by the longest item.
@@ -21,6 +27,7 @@ whole in pieces that overlap by the longest item.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +40,12 @@ from veilframe.llm import common
 Q = 8
 #: Edits allowed, as a share of an item's characters (fewer where the lemma would lose its force).
 EDITS = 0.08
+#: Shorter items must stand exactly, as words of their own.
 MIN_CHARS = 24
-#: Characters of benchmark items in one broadcast block: about 32 bytes of index each.
-BLOCK_CHARS = 1 << 20
+#: Characters of benchmark items in one broadcast block: about 32 bytes of index each; and blocks that one scan looks for.
+BLOCK_CHARS, PER_SCAN = 1 << 20, 4
+#: Shared q-grams of items and text that are laid out at once.
+ENTRIES = 1 << 20
 #: Characters scanned at once.
 PIECE = 1 << 18
 _BITS = 20
@@ -59,6 +69,8 @@ def normalise(text: str) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     table = _table()
     code = np.where(raw < len(table), table[np.minimum(raw, len(table) - 1)], raw)
+    for c in np.unique(raw[raw >= len(table)]).tolist():
+        code[raw == c] = ord(chr(c).lower()[0]) if chr(c).isalnum() else 32
     space = code == 32
     keep = np.flatnonzero(~(space & np.concatenate([[True], space[:-1]])))
     return code[keep], keep
@@ -78,24 +90,46 @@ def budget(m: int) -> int:
     return max(0, min(math.floor(EDITS * m), (m - Q) // Q))
 
 
+def _trim(code: np.ndarray) -> np.ndarray:
+    return code[: len(code) - 1] if len(code) and code[-1] == 32 else code
+
+
+def _text(code: np.ndarray) -> str:
+    return code.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 class Index:
-    """q-gram index of some benchmark items."""
+    """q-gram index of some benchmark items, and an automaton of the short ones."""
 
     def __init__(self, items: list[tuple]):
-        items = [(i, c) for i, t in items if t is not None and len(c := normalise(t.strip())[0]) >= MIN_CHARS]
+        known = [(i, c) for i, t in items if t is not None and len(c := _trim(normalise(t.strip())[0]))]
+        items = [(i, c) for i, c in known if len(c) >= MIN_CHARS]
+        short: dict[str, list] = {}
+        for i, c in known:
+            if len(c) < MIN_CHARS:
+                short.setdefault(f" {_text(c)} ", []).append(i)
+        self.automaton = None
+        if short:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for word, ids in short.items():
+                self.automaton.add_word(word, (len(word), ids))
+            self.automaton.make_automaton()
         self.ids = [i for i, _ in items]
-        self.codes = [c[:-1] if c[-1] == 32 else c for _, c in items]
+        self.codes = [c for _, c in items]
         self.m = np.array([len(c) for c in self.codes], np.int64)
         self.k = np.array([budget(m) for m in self.m], np.int64)
         self.need = self.m + 1 - Q - self.k * Q
         g = [grams(c) for c in self.codes]
         flat = np.concatenate(g) if g else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(g)), [len(x) for x in g])
-        pos = np.concatenate([np.arange(len(x)) for x in g]) if g else np.zeros(0, np.int64)
+        self.owner = np.repeat(np.arange(len(g)), [len(x) for x in g])
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in g])]).astype(np.int64)
         order = np.argsort(flat, kind="stable")
-        self.item, self.pos = item[order].astype(np.int32), pos[order].astype(np.int32)
-        self.grams, self.at = np.unique(flat[order], return_index=True)
-        self.at = np.append(self.at, len(flat))
+        self.item = self.owner[order].astype(np.int32)
+        self.grams, self.at, number = np.unique(flat, return_index=True, return_inverse=True)
+        self.at = np.concatenate([np.searchsorted(number[order], np.arange(len(self.grams))), [len(flat)]])
+        self.number = number.astype(np.int32)  # of each gram of each item, in the items' order
         self.bitmap = np.zeros(1 << _BITS, bool)
         self.bitmap[(self.grams >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
@@ -109,22 +143,67 @@ class Index:
         where = np.minimum(np.searchsorted(self.grams, g[at]), len(self.grams) - 1)
         hit = self.grams[where] == g[at]
         at, where = at[hit], where[hit]
-        times = self.at[where + 1] - self.at[where]
         if not len(at):
             return none
-        entry = np.repeat(self.at[where] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-        item, diagonal = self.item[entry].astype(np.int64), np.repeat(at, times) - self.pos[entry]
-        enough = np.bincount(item, minlength=len(self.m)) >= self.need  # no band has more than the text
-        few = enough[item]
-        item, diagonal = item[few], diagonal[few] + int(self.m.max())
-        step = self.k[item] + 1
-        band = diagonal // step
-        low = (band > 0) & (diagonal - band * step < self.k[item])  # also in the upper part of the band below
-        key = np.concatenate([item * (1 << 40) + band, (item * (1 << 40) + band - 1)[low]])
-        keys, counts = np.unique(key, return_counts=True)
-        item, band = keys >> 40, keys & ((1 << 40) - 1)
+        # How often each gram of the items stands in the text; hence what each item shares at most.
+        places = np.bincount(where, minlength=len(self.grams))
+        seen = np.flatnonzero(places)
+        times = self.at[seen + 1] - self.at[seen]
+        entry = np.repeat(self.at[seen] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        shared = np.bincount(self.item[entry], np.repeat(places[seen], times), len(self.m)).astype(np.int64)
+        able = np.flatnonzero(shared >= self.need)  # no band has more than the text
+        # Where in the text each gram stands, grouped by gram.
+        at = at[np.argsort(where, kind="stable")]
+        begin = np.cumsum(places) - places
+        found, i = [none], 0
+        while i < len(able):
+            j = i + 1 + int(np.searchsorted(np.cumsum(shared[able[i + 1 :]]), ENTRIES - shared[able[i]], "right")) if shared[able[i]] < ENTRIES else i + 1
+            found.append(self._bands(able[i:j], at, begin, places, len(code)))
+            i = j
+        return tuple(np.concatenate([f[n] for f in found]) for n in (0, 1))
+
+    def _bands(self, items: np.ndarray, at: np.ndarray, begin: np.ndarray, places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(item, lowest diagonal) of the bands of ``items`` that hold enough: one item, or some with few shared grams."""
+        lead = int(self.m.max())
+        own = np.concatenate([np.arange(self.first[i], self.first[i + 1]) for i in items])
+        own = own[places[self.number[own]] > 0]
+        wide = (size + lead) // (int(self.k[items].min()) + 1) + 2  # more bands than any item has
+        counts, keys = None, np.zeros(0, np.int64)
+        total = np.cumsum(places[self.number[own]])
+        a = 0
+        while a < len(own):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + ENTRIES, "right")))
+            part = own[a:b]
+            gram = self.number[part]
+            times = places[gram]
+            where = at[np.repeat(begin[gram] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+            item = np.repeat(self.owner[part], times)
+            diagonal = where - np.repeat(part - self.first[self.owner[part]], times) + lead
+            step = self.k[item] + 1
+            band = diagonal // step
+            low = (band > 0) & (diagonal - band * step < self.k[item])  # also in the upper part of the band below
+            row = np.searchsorted(items, item) * wide
+            key = np.concatenate([row + band, (row + band - 1)[low]])
+            if len(items) == 1:
+                counts = np.bincount(key, minlength=wide) if counts is None else counts + np.bincount(key, minlength=wide)
+            else:
+                keys = np.concatenate([keys, key])
+            a = b
+        if len(items) == 1:
+            keys = np.flatnonzero(counts) if counts is not None else keys
+            counts = counts[keys] if counts is not None else keys
+        else:
+            keys, counts = np.unique(keys, return_counts=True)
+        item, band = items[keys // wide], keys % wide
         ok = counts >= self.need[item]
-        return item[ok], (band * (self.k[item] + 1))[ok] - int(self.m.max())
+        return item[ok], (band * (self.k[item] + 1))[ok] - lead
+
+    def exact(self, code: np.ndarray) -> list[tuple[object, int, int]]:
+        """(item id, start, end) of the short items that stand in ``code`` as words of their own."""
+        if self.automaton is None:
+            return []
+        found = self.automaton.iter(f" {_text(_trim(code))} ")
+        return [(i, end - n + 1, end - 1) for end, (n, ids) in found for i in ids]
 
     def matches(self, code: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits) of verified matches in ``code``; the best of those of an item that overlap."""
@@ -143,8 +222,12 @@ class Index:
                 found += zip(it[good].tolist(), (last - back).tolist(), last.tolist(), edits[good].tolist())
         found.sort(key=lambda x: (x[0], x[3], x[1]))
         out: list[tuple[int, int, int, int]] = []
+        taken: dict[int, list[tuple[int, int]]] = {}
         for x in found:
-            if not any(y[0] == x[0] and x[1] < y[2] and y[1] < x[2] for y in reversed(out)):
+            spans = taken.setdefault(x[0], [])  # sorted, apart from one another
+            n = bisect_left(spans, (x[1], x[2]))
+            if (n == 0 or spans[n - 1][1] <= x[1]) and (n == len(spans) or x[2] <= spans[n][0]):
+                spans.insert(n, (x[1], x[2]))
                 out.append(x)
         return out
 
@@ -187,43 +270,53 @@ def align(items: list[np.ndarray], code: np.ndarray, low: np.ndarray, width: np.
     return final[np.arange(n), best], m + low + best
 
 
-def _scan(index) -> object:
+_FOUND = "doc_id long, row long, item_id long, start long, end long, edits long"
+
+
+def _scan(indexes: list) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix: Index = index.value
-        lap = int(2 * ix.m.max()) if len(ix.m) else 0
+        held: list[Index] = [i.value for i in indexes]
         for batch in batches:
-            rows: list[tuple] = []
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            pending, size, group = [], 0, []
-            for i, t in zip(ids, texts):
-                if t:
-                    pending.append((i, t))
-                    size += len(t)
+            pending, size = [], 0
+            for doc in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if doc[2]:
+                    pending.append(doc)
+                    size += len(doc[2])
                 if size >= PIECE:
-                    group.append(pending)
+                    yield from _scan_docs(held, pending)
                     pending, size = [], 0
-            for docs in [*group, pending]:
-                rows += _scan_docs(ix, docs, lap)
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.record_batch(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.int64()) for c in cols[2:])],
-                names=["doc_id", "item_id", "start", "end", "edits"],
-            )
+            yield from _scan_docs(held, pending)
 
     return run
 
 
-def _scan_docs(ix: Index, docs: list[tuple], lap: int) -> Iterator[tuple]:
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * 6
+    return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "row", "item_id", "start", "end", "edits"])
+
+
+def _scan_docs(indexes: list[Index], docs: list[tuple]) -> Iterator[pa.RecordBatch]:
     """Matches of several texts, laid one behind another with a gap that no match bridges."""
-    if not docs or not ix.ids:
+    if not docs:
         return
-    parts, maps, starts, at = [], [], [], 0
+    normal = [normalise(t) for _, _, t in docs]
+    for ix in indexes:
+        rows = []
+        for (doc, row, _), (code, where) in zip(docs, normal):
+            rows += [(doc, row, i, int(where[s]), int(where[e - 1]) + 1, 0) for i, s, e in ix.exact(code)]
+        if ix.ids:
+            rows += _passages(ix, docs, normal)
+        if rows:
+            yield _rows(rows)
+
+
+def _passages(ix: Index, docs: list[tuple], normal: list[tuple]) -> Iterator[tuple]:
+    lap = int(2 * ix.m.max())
+    parts, starts, at = [], [], 0
     gap = np.zeros(int(ix.m.max()) + int(ix.k.max()) + Q, np.uint32)
-    for _, t in docs:
-        code, where = normalise(t)
+    for code, _ in normal:
         starts.append(at)
         parts += [code, gap]
-        maps.append(where)
         at += len(code) + len(gap)
     whole = np.concatenate(parts)
     found: set[tuple] = set()
@@ -232,32 +325,44 @@ def _scan_docs(ix: Index, docs: list[tuple], lap: int) -> Iterator[tuple]:
             found.add((item, s + a, e + a, edits))
     for item, s, e, edits in sorted(found):
         d = int(np.searchsorted(starts, s + 1, "right")) - 1 if s >= 0 else 0
-        where = maps[d]
+        where = normal[d][1]
         s, e = max(0, s - starts[d]), min(e - starts[d], len(where))
         if s < e:
-            yield docs[d][0], ix.ids[item], int(where[s]), int(where[e - 1]) + 1, edits
+            yield docs[d][0], docs[d][1], ix.ids[item], int(where[s]), int(where[e - 1]) + 1, edits
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start, end, edits): passages of ``docs`` that are benchmark items within the edit budget."""
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     common.text_batches(spark)
     items = benchmark.select("item_id", "text").where("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-int(chars) // BLOCK_CHARS))
+    own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
     out = None
-    for b in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in block.orderBy("item_id", "text").collect()]))
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(index), "doc_id long, item_id long, start long, end long, edits long")
+    for first in range(0, blocks, PER_SCAN):
+        held = []
+        for b in range(first, min(first + PER_SCAN, blocks)):
+            block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+            held.append(spark.sparkContext.broadcast(Index([tuple(r) for r in block.orderBy("item_id", "text").collect()])))
+        found = own.mapInArrow(_scan(held), _FOUND)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, start, end, edits): passages of ``docs`` that are benchmark items within the edit budget."""
+    return _found(docs, benchmark).drop("row")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage (rows of null id stay)."""
-    gone = contaminations(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """``docs`` without the rows whose text holds a benchmark passage (rows of null id stay).
+
+    What goes is written first, and broadcast where it is small, so texts are not shuffled then.
+    """
+    key, row = common.fresh(docs, "gone", "row")
+    found = _found(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias(key), F.col("row").alias(row)).distinct()
+    gone = common.few(common.cut(found))
+    return docs.join(gone, (docs["doc_id"] == gone[key]) & (F.xxhash64(docs["text"]) == gone[row]), "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
