@@ -85,6 +85,22 @@ def test_quality_scores(spark, docs):
     assert len(rows) == docs.count() and all(r.held_out == held(r.doc_id, 5, 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
     test = [r for r in rows if r.held_out and r.doc_id in labels]
     assert sum(r.predicted == labels[r.doc_id] for r in test) / len(test) > 0.9
+    assert _auc([r.score for r in test], [labels[r.doc_id] for r in test]) > 0.97
+    # Every score by brute force: the same model, each text compressed piece by piece here.
+    m = compression.fit(spark, docs, table(spark, "labels"))
+    coders, texts = m.coders(), {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert len(m.weights) == 2 and m.weights[1] > 0
+    for r in rows[:300]:
+        t = texts[r.doc_id]
+        good, bad = (sum(len(c.compress(t[i : i + compression.PIECE])) for i in range(0, len(t), compression.PIECE)) for c in coders)
+        want = 1 / (1 + math.exp(-(m.weights[0] + m.weights[1] * 10 * (bad - good) / (bad + good)))) if t else m.prior
+        assert r.score == pytest.approx(want)
+
+
+def _auc(scores, truth):
+    """Share of pairs of a positive and a negative that are in order."""
+    pos, neg = ([s for s, y in zip(scores, truth) if y == k] for k in (1, 0))
+    return sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
 
 
 def test_quality_pieces_cover_long_texts():
@@ -132,21 +148,83 @@ def test_every_language_is_learned(spark):
 
 def test_language_details():
     m = language.train([("the cat and the dog " * 9, "en"), ("le chat et le chien " * 9, "fr")])
-    assert language.identify(m, [None, "", "123 ... !", "the the", "x" * 5000])[:3] == [("und", 0.0)] * 3
+    odd = [None, "", "123 ... !", "½ ² ①", "\u0301 _ 五"[:3], "the the", "x" * 5000]
+    got = language.identify(m, odd)
+    assert got[:5] == [("und", 0.0)] * 5 and got[5][0] == "en" and got[6][0] in ("en", "fr")
     assert language.identify(m, ["the dog and the cat"])[0][0] == "en"
-    # A run is labelled alike alone and among others, and counts as often as it stands.
-    a, b = language.identify(m, ["the le le"])[0], language.identify(m, ["the le le", "chat dog"])[0]
+    # A text is labelled alike alone and among others.
+    a, b = language.identify(m, ["the le le"])[0], language.identify(m, ["the le le", "chat dog" * 80])[0]
     assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-5
-    assert b"".join(r[1:-1] for r in language.runs("Ab " + "c" * 60)) == b"ab" + b"c" * 60
     assert language.identify(language.Model([], {}), ["x"]) == [("und", 0.0)]
 
 
+@pytest.mark.parametrize("n", [1, 95, 96, 97, 192, 1000])
+def test_every_byte_is_labelled_once(n):
+    text = "".join(chr(97 + k % 26) for k in range(n - 1)) + "é"
+    code, who, count = language.windows([None, text, ""])
+    assert set(who) == {1} and count.sum() == len(text.encode())
+    inside = language._inside(count).astype(bool)
+    assert b"".join(bytes(w[i]) for w, i in zip(code, inside.T)) == text.encode()
+
+
+def test_language_scores_are_those_of_a_scalar_network():
+    m = language.train([("the cat and the dog 12 " * 9, "en"), ("le chat et le chien, " * 9, "fr"), ("der hund und die katze " * 9, "de")])
+    p = {k: v.astype(float) for k, v in m.p.items()}
+    for text in ("The dog 77 et la katze!", "Der Hund und " * 30):
+        raw, total = text.lower().encode(), np.zeros(3)
+        for a in range(0, len(raw), language.WIDE - 2 * language.LAP):
+            at = range(a - language.LAP, a - language.LAP + language.WIDE)
+            code = [raw[i] if 0 <= i < len(raw) else 0 for i in at]
+            states = zip(_gru([p["xf"][c] for c in code], p["uf"], False), _gru([p["xb"][c] for c in code], p["ub"], True))
+            for i, s in zip(at, states):
+                if a <= i < min(len(raw), a + language.WIDE - 2 * language.LAP):
+                    x = np.concatenate(s) @ p["w"] + p["b"]
+                    total += x - np.log(np.exp(x).sum())
+        prob = np.exp(total / len(raw))
+        lang, score = language.identify(m, [text])[0]
+        assert lang == m.languages[int(prob.argmax())] and score == pytest.approx(prob.max() / prob.sum(), abs=1e-4)
+
+
 def test_toxic_documents(spark):
     labels = {r.doc_id: r.toxic for r in table(spark, "labels").collect()}
     rows = catalogue.queries()["op6_toxicity"](spark, BIG).collect()
     assert all(r.held_out == held(r.doc_id, 5, 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     test = [r for r in rows if r.held_out and r.doc_id in labels]
     assert sum(r.predicted == labels[r.doc_id] for r in test) / len(test) > 0.9
+    assert _auc([r.score for r in test], [labels[r.doc_id] for r in test]) > 0.9
+    # Some scores by brute force: every window by itself, word by word, through scalar recurrences.
+    m = toxicity.fit(spark, table(spark, "documents"), table(spark, "labels"))
+    texts = {r.doc_id: r.text for r in table(spark, "documents").collect()}
+    for r in sorted((r for r in rows if 0 < len(toxicity.words(texts[r.doc_id])) < 120), key=lambda r: r.doc_id)[:12]:
+        assert r.score == pytest.approx(_toxic(m, toxicity.words(texts[r.doc_id])), abs=1e-4)
+
+
+def _gru(inputs, u, back):
+    n, out = len(u), []
+    h = np.zeros(n)
+    for x in inputs[::-1] if back else inputs:
+        a = h @ u
+        z, r = (1 / (1 + np.exp(-(x[k * n : (k + 1) * n] + a[k * n : (k + 1) * n]))) for k in (0, 1))
+        c = np.tanh(x[2 * n :] + r * a[2 * n :])
+        h = z * h + (1 - z) * c
+        out.append(h)
+    return out[::-1] if back else out
+
+
+def _toxic(m, words):
+    p, best = {k: v.astype(float) for k, v in m.p.items()}, -np.inf
+    n = len(words)
+    starts = [0] if n <= toxicity.WINDOW else sorted({*range(0, n - toxicity.WINDOW, toxicity.STRIDE), n - toxicity.WINDOW})
+    for a in starts:
+        e = []
+        for w in words[a : a + toxicity.WINDOW]:
+            bucket, _ = toxicity.grams([w])
+            e.append(np.concatenate([p["words"][m.words.get(w, 0)], np.tanh(p["chars"][bucket].mean(axis=0))]))
+        f, b = (_gru([x @ p["w" + d] + p["b" + d] for x in e], p["u" + d], d == "b") for d in "fb")
+        states = [np.concatenate(s) for s in zip(f, b)]
+        weight = np.exp([np.tanh(s @ p["wa"]) @ p["va"] for s in states])
+        best = max(best, float((weight / weight.sum()) @ np.array([s @ p["wo"] for s in states]) + p["bo"][0]))
+    return 1 / (1 + np.exp(-(m.curve[0] + m.curve[1] * best)))
 
 
 def test_windows_overlap_and_cover():

@@ -1,12 +1,13 @@
 """Quality by compression: zstandard dictionaries of good and of bad text.
 
 Two dictionaries are trained on labelled texts, one a class. A text is cut into
-pieces that are compressed with each; the difference of the two compressed sizes,
+short pieces that are compressed with each; the difference of the two compressed sizes,
 over their sum, says which dictionary knows the text better. A logistic curve of
-that difference, of the text's compression ratio and of their product, fitted to examples that no
-dictionary has seen, turns it into a probability.
+that difference alone (a constant and a slope), fitted to examples that no
+dictionary has seen, turns it into a probability. Pieces are short so that what a piece has
+to refer to is the dictionary rather than its own beginning.
 
-Dictionaries and coefficients (under 250 KB) go to the tasks; texts are scored where
+Dictionaries and coefficients (under 70 KB) go to the tasks; texts are scored where
 they are read, in pieces, so a text of any length takes the memory of a piece.
 
 Defined results: null and empty texts have no size and score the share of good
@@ -30,8 +31,8 @@ from veilframe.llm import common
 
 #: Labelled documents of each class to learn from, at most.
 PER_CLASS = 800
-DICTIONARY = 112 << 10
-PIECE = 2048
+DICTIONARY = 32 << 10
+PIECE = 128
 LEVEL = 3
 CUT = 0.3
 
@@ -62,21 +63,25 @@ def sizes(text: bytes, coders: tuple) -> tuple[int, int]:
     return good, bad
 
 
-def features(text: bytes, coders: tuple) -> np.ndarray:
+def difference(text: bytes, coders: tuple) -> float:
+    """Normalised difference of the compressed sizes: positive if the dictionary of good text knows it better."""
     good, bad = sizes(text, coders)
-    difference = (bad - good) / (bad + good) if good + bad else 0.0
-    ratio = min(1.5, (bad + good) / 2 / len(text)) if text else 0.0
-    return np.array([1.0, 10 * difference, ratio, 10 * difference * ratio, np.log1p(len(text)) / 10, ratio * ratio])
+    return (bad - good) / (bad + good) if good + bad else 0.0
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
+def _dictionaries(rows: list[tuple[bytes, int]]) -> tuple[bytes, bytes]:
+    """Dictionaries of the good and of the bad texts of (text, label), of one size, so that neither is favoured for having more text."""
+    samples = [[t[i : i + PIECE] for t, y in rows if y == k for i in range(0, len(t), PIECE)] for k in (1, 0)]
+    size = min(DICTIONARY, max(1024, min(sum(map(len, s)) for s in samples) * 3 // 10))
+    return tuple(_dictionary(s, size) for s in samples)
+
+
+def _dictionary(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary, or where there is too little text for training, the text itself."""
-    samples = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
-    total = sum(map(len, samples))
     try:
-        return zstandard.train_dictionary(min(DICTIONARY, max(1024, total // 10)), samples).as_bytes()
+        return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-DICTIONARY:] or b"\0" * 8
+        return b"".join(samples)[-size:] or b"\0" * 8
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
@@ -96,32 +101,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> np.ndarray
 def train(rows: list[tuple[bytes, int]], share: float | None = None) -> Model:
     """A model of (text, label) examples; ``share``: of good ones among all labelled rows.
 
-    The examples are dealt into two folds. Dictionaries of one fold give the features
+    The examples are dealt into two folds. Dictionaries of one fold give the differences
     of the other and the other way round; the curve is fitted to both, the final
     dictionaries to all.
     """
     n = [sum(y == k for _, y in rows) for k in (0, 1)]
     prior = share if share is not None else (n[1] + 1) / (sum(n) + 2)
-    of = lambda part, k: _dictionary([t for t, y in part if y == k])
     if min(n) < 4:
         return Model(b"\0" * 8, b"\0" * 8, np.zeros(0), prior)
     each = [[r for r in rows if r[1] == k] for k in (0, 1)]
     folds = [each[0][i::2] + each[1][i::2] for i in (0, 1)]
     x, y = [], []
     for mine, other in (folds, folds[::-1]):
-        coders = Model(of(mine, 1), of(mine, 0), np.zeros(0), prior).coders()
-        x += [features(t, coders) for t, _ in other if t]
+        coders = Model(*_dictionaries(mine), np.zeros(0), prior).coders()
+        x += [(1.0, 10 * difference(t, coders)) for t, _ in other if t]
         y += [v for t, v in other if t]
     if len(set(y)) < 2:
         return Model(b"\0" * 8, b"\0" * 8, np.zeros(0), prior)
     xs, ys = np.array(x), np.array(y, float)
-    return Model(of(rows, 1), of(rows, 0), _logistic(xs, ys), prior)
+    return Model(*_dictionaries(rows), _logistic(xs, ys), prior)
 
 
 def score(text: bytes, model: Model, coders: tuple) -> float:
     if not text or not len(model.weights):
         return model.prior
-    return float(1 / (1 + np.exp(-np.clip(features(text, coders) @ model.weights, -30, 30))))
+    return float(1 / (1 + np.exp(-np.clip(np.array([1.0, 10 * difference(text, coders)]) @ model.weights, -30, 30))))
 
 
 def _score(model: Model):

@@ -37,6 +37,30 @@ def forward(x: np.ndarray, u: np.ndarray, mask: np.ndarray, keep: list | None =
     return out
 
 
+def read(table: np.ndarray, u: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """What ``forward`` gives for inputs ``table[code]`` (T, B) without a mask: nothing is kept, inputs are looked up step by step."""
+    steps, batch = code.shape
+    n = u.shape[0]
+    h, gates, c = (np.zeros((batch, k), table.dtype) for k in (n, 2 * n, n))
+    out = np.empty((steps, batch, n), table.dtype)
+    half = np.concatenate([np.full(2 * n, 0.5, table.dtype), np.ones(n, table.dtype)])
+    table, u = table * half, u * half  # a logistic is half a tanh of half its argument, and a half
+    for t in range(steps):
+        x, a = table[code[t]], h @ u
+        np.add(x[:, : 2 * n], a[:, : 2 * n], out=gates)
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
+        np.multiply(gates[:, n:], a[:, 2 * n :], out=c)
+        c += x[:, 2 * n :]
+        np.tanh(c, out=c)
+        h = h - c
+        h *= gates[:, :n]
+        h += c
+        out[t] = h
+    return out
+
+
 def backward(d: np.ndarray, u: np.ndarray, mask: np.ndarray, kept: list) -> tuple[np.ndarray, np.ndarray]:
     """Gradients (of x, of u) from gradients ``d`` (T, B, H) of the states."""
     steps, batch, n = d.shape

@@ -1,16 +1,16 @@
 """Language identification: a bidirectional gated recurrent network over bytes.
 
-The network reads runs of bytes: a word with the blank before it and the one behind
-it, lower-cased, long words in runs of ``RUN`` bytes. It labels every byte position with
-a distribution over the learned languages; a document pools the log probabilities of
-all its positions. Its state starts anew with each run, so a run that recurs within a
-batch is labelled once and counted as often as it stands.
+The network reads the bytes of the lower-cased text as they stand, words, digits, signs and
+blanks alike, in windows of ``WIDE`` bytes that overlap by ``LAP`` on each side, so that
+context crosses words. It labels every byte position with a distribution over the learned
+languages, each position in the window in whose middle it lies; a document pools the log
+probabilities of all its positions.
 
-Trained on the driver by backpropagation through time on runs of a bounded sample of
+Trained on the driver by backpropagation through time on windows of a bounded sample of
 labelled documents; weights (some tens of KB) go to the tasks, texts are labelled where
 they are read.
 
-Defined results: null texts and texts without a letter: ``und`` and score 0; no
+Defined results: null texts and texts without a letter (of any script): ``und`` and score 0; no
 labelled example: ``und`` for all; one learned language: that one; equal scores go to
 the language that comes first in order; repeated rows are labelled alike; a null
 doc_id is labelled and not held out; an empty table gives an empty result.
@@ -18,12 +18,12 @@ doc_id is labelled and not held out; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +31,16 @@ from veilframe.llm import common, gru
 
 #: Documents of each language to learn from, at most.
 PER_LANGUAGE = 200
-#: Distinct runs of each language to learn from, at most.
-RUNS = 2500
-RUN = 24
+#: Windows of each of these documents to learn from, at most: a bound on the sample, not on what is labelled.
+SPOTS = 8
+WIDE, LAP = 128, 16
 HIDDEN = 12
-EPOCHS = 8
-_WORD = re.compile(r"[^\W\d_]+")
+EPOCHS, BATCH = 4, 64
+#: Batches of each pass, at least.
+STEPS = 40
+#: Windows labelled at once (of four languages; fewer of more).
+ROWS = 1024
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -45,32 +49,42 @@ class Model:
     p: dict[str, np.ndarray]
 
 
-def runs(text: str | None) -> list[bytes]:
-    """The byte runs of a text, in order."""
-    out = []
-    for w in _WORD.findall(text.lower()) if text else ():
-        b = w.encode("utf-8", "surrogatepass")
-        out += [b" " + b + b" "] if len(b) <= RUN else [b" " + b[i : i + RUN] + b" " for i in range(0, len(b), RUN)]
-    return out
+def has_letter(text: str | None) -> bool:
+    return bool(text and _LETTER.search(text))
+
+
+def windows(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes (windows, WIDE) of all texts, 0 beyond a text's ends; whose each window is, and how many bytes in its middle are the text's."""
+    codes = [np.frombuffer((t or "").lower().encode("utf-8", "surrogatepass"), np.uint8) for t in texts]
+    step = WIDE - 2 * LAP
+    size = np.array([len(c) for c in codes], np.int64)
+    many = -(-size // step)
+    whole = np.zeros(int((many * step + 2 * LAP).sum()), np.uint8)
+    begin = np.cumsum(many * step + 2 * LAP) - (many * step + 2 * LAP)
+    for c, a in zip(codes, begin.tolist()):
+        whole[a + LAP : a + LAP + len(c)] = c
+    who = np.repeat(np.arange(len(texts)), many)
+    nth = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
+    at = begin[who] + nth * step
+    return whole[at[:, None] + np.arange(WIDE)[None, :]] if len(at) else np.zeros((0, WIDE), np.uint8), who, np.minimum(step, size[who] - nth * step)
 
 
-def _matrix(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes (T, B) and mask (T, B)."""
-    size = np.array([len(s) for s in seqs])
-    wide = int(size.max())
-    code = np.frombuffer(b"".join(s.ljust(wide, b"\0") for s in seqs), np.uint8).reshape(-1, wide).T
-    return code, (np.arange(wide)[:, None] < size[None, :]).astype(np.float32)
+def _inside(count: np.ndarray) -> np.ndarray:
+    """(WIDE, windows): 1 for the positions that a window labels."""
+    at = np.arange(WIDE)[:, None] - LAP
+    return ((at >= 0) & (at < count[None, :])).astype(np.float32)
 
 
-def positions(model: Model, seqs: list[bytes], keep: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Log probabilities (T, B, K) of the languages at each position; also the codes, the mask and the states."""
+def positions(model: Model, code: np.ndarray) -> np.ndarray:
+    """Log probabilities (WIDE, windows, languages) at each position of windows (WIDE, windows)."""
     p = model.p
-    code, mask = _matrix(seqs)
-    states = gru.both(p["xf"][code], p["xb"][code], p["uf"], p["ub"], mask, keep)
-    logit = states @ p["w"] + p["b"]
+    f = gru.read(p["xf"], p["uf"], code)
+    logit = f @ p["w"][:HIDDEN]
+    logit += gru.read(p["xb"], p["ub"], code[::-1])[::-1] @ p["w"][HIDDEN:]
+    logit += p["b"]
     logit -= logit.max(axis=2, keepdims=True)
     logit -= np.log(np.exp(logit).sum(axis=2, keepdims=True))
-    return logit, code, mask, states
+    return logit
 
 
 def train(examples: list[tuple[str, str]], seed: int = 7) -> Model:
@@ -83,66 +97,62 @@ def train(examples: list[tuple[str, str]], seed: int = 7) -> Model:
     model = Model(languages, p)
     if k < 2:
         return model
-    data: list[tuple[bytes, int]] = []
-    seen: dict[str, dict[bytes, None]] = {lang: {} for lang in languages}
+    picked, y = [], []
     for t, lang in examples:
-        seen[lang].update(dict.fromkeys(runs(t)))
-    for i, lang in enumerate(languages):
-        own = list(seen[lang])
-        data += [(own[j], i) for j in rng.permutation(len(own))[:RUNS]]
+        own, _, count = windows([t])
+        for j in rng.permutation(len(own))[:SPOTS]:
+            picked.append((own[j], int(count[j])))
+            y.append(languages.index(lang))
+    if not picked:
+        return model
+    code, count, truth = np.array([c for c, _ in picked]).T, np.array([n for _, n in picked]), np.array(y)
     opt = gru.Adam(p, 0.01)
-    size = 128
-    for epoch in range(EPOCHS):
-        if epoch == EPOCHS - 2:
+    steps = -(-len(truth) // BATCH) * EPOCHS
+    passes = max(EPOCHS, -(-STEPS * EPOCHS // steps))  # a small sample is gone through more often
+    ones = np.ones((WIDE, BATCH), np.float32)
+    for epoch in range(passes):
+        if epoch == passes - max(1, passes // 4):
             opt.rate /= 4
-        # Runs of like length share a batch; batches come in random order.
-        order = sorted(rng.permutation(len(data)).tolist(), key=lambda j: len(data[j][0]))
-        starts = np.arange(0, len(order), size)
-        for a in rng.permutation(starts):
-            batch = [data[j] for j in order[a : a + size]]
+        order = rng.permutation(len(truth))
+        for a in range(0, len(order), BATCH):
+            part = order[a : a + BATCH]
+            c, mask, on = code[:, part], _inside(count[part]), ones[:, : len(part)]
             keep: tuple[list, list] = ([], [])
-            logp, code, mask, states = positions(model, [b for b, _ in batch], keep)
-            y = np.array([i for _, i in batch])
-            d = np.exp(logp)
-            d[:, np.arange(len(batch)), y] -= 1
+            states = gru.both(p["xf"][c], p["xb"][c], p["uf"], p["ub"], on, keep)
+            logit = states @ p["w"] + p["b"]
+            d = np.exp(logit - logit.max(axis=2, keepdims=True))
+            d /= d.sum(axis=2, keepdims=True)
+            d[:, np.arange(len(part)), truth[part]] -= 1
             d *= mask[:, :, None] / mask.sum()
-            dxf, dxb, duf, dub = gru.both_back(d @ p["w"].T, p["uf"], p["ub"], mask, keep)
+            dxf, dxb, duf, dub = gru.both_back(d @ p["w"].T, p["uf"], p["ub"], on, keep)
             g = {"w": np.tensordot(states, d, ([0, 1], [0, 1])), "b": d.sum(axis=(0, 1)), "uf": duf, "ub": dub}
             for name, dx in (("xf", dxf), ("xb", dxb)):
                 g[name] = np.zeros_like(p[name])
-                np.add.at(g[name], code.ravel(), dx.reshape(-1, dx.shape[2]))
+                np.add.at(g[name], c.ravel(), dx.reshape(-1, dx.shape[2]))
             opt.step(g)
     return model
 
 
-class _Numbers(dict):
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
 def identify(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     """(language, probability) of each text."""
-    number = _Numbers()
-    per_text = [np.fromiter(map(number.__getitem__, r), np.int64, len(r)) for r in map(runs, texts)]
-    if not number or not model.languages:
+    able = [has_letter(t) for t in texts]
+    if not model.languages or not any(able):
         return [("und", 0.0)] * len(texts)
-    seqs, k = list(number), len(model.languages)
-    total, count = np.zeros((len(seqs), k)), np.array([len(s) for s in seqs])
-    order = np.argsort(count, kind="stable")
-    for a in range(0, len(order), 1024):
-        part = order[a : a + 1024]
-        logp, _, mask, _ = positions(model, [seqs[i] for i in part])
-        total[part] = (logp * mask[:, :, None]).sum(axis=0)
+    code, who, count = windows([t if ok else None for t, ok in zip(texts, able)])
+    k = len(model.languages)
+    pooled, size = np.zeros((len(texts), k)), np.bincount(who, count, len(texts))
+    rows = max(32, ROWS * 4 // max(4, k))  # the labels of so many windows are held at once
+    for a in range(0, len(code), rows):
+        part = np.ascontiguousarray(code[a : a + rows].T)
+        # A position at a time, and the positions of a window added up before those of a text.
+        found = np.einsum("tbk,tb->bk", positions(model, part), _inside(count[a : a + rows]), dtype=np.float64)
+        np.add.at(pooled, who[a : a + rows], found)
     out = []
-    for own in per_text:
-        if not len(own):
+    for own, n, ok in zip(pooled, size, able):
+        if not ok:
             out.append(("und", 0.0))
             continue
-        times = np.bincount(own, minlength=0)
-        which = np.flatnonzero(times)
-        pooled = times[which] @ total[which] / (times[which] @ count[which])
-        prob = np.exp(pooled - pooled.max())
+        prob = np.exp((own - own.max()) / n)
         best = int(prob.argmax())
         out.append((model.languages[best], float(prob[best] / prob.sum())))
     return out
