@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,10 +13,19 @@ MAX_DEPTH = 64
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the session's spark.checkpoint.dir (where it is unset, under a local master only, a local folder); deleted when the driver ends."""
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilframe-"))
-    return df.checkpoint(eager=True)
+    jsc = spark.sparkContext._jsc.sc()
+    if jsc.getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set, and a folder of this machine is none that executors see")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veilframe-"))
+    path = f"{jsc.getCheckpointDir().get()}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def reachable(edges: DataFrame, roots: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -34,19 +44,22 @@ def reachable(edges: DataFrame, roots: DataFrame, keys: list[str] | None = None)
 
 
 def inherit(nodes: DataFrame, attributes: list[str]) -> DataFrame:
-    """Page-tree nodes (node, parent, attributes) with ``depth`` and each attribute its own or the nearest ancestor's.
+    """Page-tree nodes (node, parent, attributes) with ``depth``, each attribute its own or the nearest ancestor's, and ``error``.
 
-    Nodes below ``MAX_DEPTH`` or on a cycle are never reached, as no root leads to them.
+    Nodes that no root leads to within ``MAX_DEPTH`` levels, as they lie deeper or on a cycle, are
+    rows with ``error`` Corrupt, a null depth and their own attributes.
     """
     nodes.createOrReplaceTempView("__tree")
     cols = ", ".join(attributes)
     down = ", ".join(f"coalesce(n.{a}, t.{a})" for a in attributes)
-    return nodes.sparkSession.sql(f"""
+    tree = nodes.sparkSession.sql(f"""
         WITH RECURSIVE t(node, parent, depth, {cols}) MAX RECURSION LEVEL {MAX_DEPTH + 1} AS (
           SELECT node, parent, 0, {cols} FROM __tree WHERE parent IS NULL
           UNION ALL
           SELECT n.node, n.parent, t.depth + 1, {down} FROM __tree n JOIN t ON n.parent = t.node WHERE t.depth < {MAX_DEPTH}
-        ) SELECT * FROM t""")
+        ) SELECT * FROM t""").withColumn("error", F.lit(None).cast("string"))
+    lost = nodes.join(tree.select("node"), "node", "left_anti").select("node", "parent", F.lit(None).cast("int").alias("depth"), *attributes, F.lit("Corrupt").alias("error"))
+    return tree.unionByName(lost)
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from veilframe.functions.geometry import Rect, luminance
@@ -37,12 +37,16 @@ def text(column: Column, query: str, mode: str = "redact", fill: str = "█") ->
     return F.array_join(F.zip_with(parts, blanks, lambda a, b: F.concat(a, b)), "")
 
 
+def _fresh(line: WindowSpec) -> Column:
+    """Glyphs of a span that no span before it on its line has."""
+    before = F.max("last_col").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    return F.greatest(F.lit(0), F.col("last_col") - F.greatest(F.col("first_col") - 1, F.coalesce(before, F.lit(-1))))
+
+
 def removed_count(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct glyphs under spans (line_no, first_col, last_col), which may overlap: merged first, so no glyph becomes a row."""
-    w = Window.partitionBy(*keys, "page_index", "line_no").orderBy("first_col", "last_col")
-    before = F.max("last_col").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.greatest(F.lit(0), F.col("last_col") - F.greatest(F.col("first_col") - 1, F.coalesce(before, F.lit(-1))))
-    return spans.withColumn("__n", fresh).groupBy(*keys).agg(F.sum("__n").cast("long").alias("glyphs_removed"))
+    line = Window.partitionBy(*keys, "page_index", "line_no").orderBy("first_col", "last_col")
+    return spans.withColumn("__n", _fresh(line)).groupBy(*keys).agg(F.sum("__n").cast("long").alias("glyphs_removed"))
 
 
 def kern_runs(glyphs: DataFrame, keys: list[str], order: list[str], removed: str, width: str) -> DataFrame:
@@ -118,7 +122,10 @@ def overlay_stream(box: Rect, r, g, b, label: Column | None = None) -> Column:
 
 def report(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Pages touched, matches and distinct glyphs removed of each document."""
-    counts = spans.groupBy(*keys, "page_index").agg(F.countDistinct("match_index").alias("m")).groupBy(*keys).agg(
-        F.count("*").alias("pages_touched"), F.sum("m").cast("long").alias("matches")
-    )
-    return counts.join(removed_count(spans, keys), keys)
+    # One exchange by page: glyphs by line within it, and a match counts where its first span is.
+    line = Window.partitionBy(*keys, "page_index", "line_no").orderBy("first_col", "last_col")
+    match = Window.partitionBy(*keys, "page_index", "match_index").orderBy("line_no", "first_col")
+    dealt = spans.select(*keys, "page_index", "match_index", "line_no", "first_col", "last_col").repartition(*keys, "page_index")
+    rows = dealt.withColumn("__n", _fresh(line)).withColumn("__first", (F.row_number().over(match) == 1).cast("long"))
+    pages = rows.groupBy(*keys, "page_index").agg(F.sum("__n").alias("g"), F.sum("__first").alias("m"))
+    return pages.groupBy(*keys).agg(F.count("*").alias("pages_touched"), F.sum("m").cast("long").alias("matches"), F.sum("g").cast("long").alias("glyphs_removed"))

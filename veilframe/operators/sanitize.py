@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What html() takes out, in this order. Shared by Java's and RE2's dialects.
@@ -64,16 +64,19 @@ def hidden_layers(layers: DataFrame, config: DataFrame, keys: list[str]) -> Data
 def hidden_sections(ops: DataFrame, keys: list[str], order: list[str], opens_hidden: Column, opens: Column, closes: Column) -> DataFrame:
     """``hidden`` of each operation: inside a hidden section, its marks included. Nested sections are followed.
 
-    A fold over a page's operations in order: depth, and the depth at which hiding began.
+    Sums over a page's operations in order, in rows that may spill: the depth (closes beyond the
+    opens count for nothing), and within a depth each close beside its open.
     """
-    kind = F.when(opens_hidden, 2).when(opens, 1).when(closes, -1).otherwise(0)
-    row = F.struct(*order, kind.alias("k"), F.struct(*[c for c in ops.columns if c not in keys and c not in order]).alias("rest"))
-    state = "struct<d:int,h:int,out:array<boolean>>"
-    fold = f"""aggregate(ops, cast(named_struct('d', 0, 'h', 0, 'out', array()) as {state}), (s, x) -> named_struct(
-        'd', case when x.k > 0 then s.d + 1 when x.k < 0 then greatest(s.d - 1, 0) else s.d end,
-        'h', case when x.k = 2 and s.h = 0 then s.d + 1 when x.k < 0 and s.h = s.d then 0 else s.h end,
-        'out', array_append(s.out, s.h > 0 or x.k = 2)), s -> s.out)"""
-    folded = ops.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("ops")).withColumn("out", F.expr(fold))
-    each = folded.select(*keys, F.explode(F.arrays_zip("ops", "out")).alias("z"))
-    rest = [c for c in ops.columns if c not in keys and c not in order]
-    return each.select(*keys, *[F.col(f"z.ops.{c}").alias(c) for c in order], *[F.col(f"z.ops.rest.{c}").alias(c) for c in rest], F.col("z.out").alias("hidden"))
+    step = F.when(opens_hidden | opens, 1).when(closes, -1).otherwise(0)
+    page = Window.partitionBy(*keys).orderBy(*order)
+    before = page.rowsBetween(Window.unboundedPreceding, -1)
+    r = ops.withColumns({"__k": F.when(opens_hidden, 2).when(opens, 1).when(closes, -1).otherwise(0), "__s": F.sum(step).over(page)})
+    r = r.withColumn("__d", F.col("__s") - F.least(F.lit(0), F.min("__s").over(page)))  # the depth after
+    # Of an open, the depth it makes; of a close, the depth it ends (null if there is none to end).
+    shallow = F.coalesce(F.lag("__d").over(page), F.lit(0)) == 0
+    r = r.withColumn("__level", F.when(F.col("__k") > 0, F.col("__d")).when((F.col("__k") < 0) & ~shallow, F.col("__d") + 1))
+    mate = F.lag("__k").over(Window.partitionBy(*keys, "__level").orderBy(*order))
+    turn = F.when(F.col("__k") == 2, 1).when((F.col("__k") < 0) & F.col("__level").isNotNull() & (mate == 2), -1).otherwise(0)
+    r = r.withColumn("__t", turn)
+    inside = F.coalesce(F.sum("__t").over(before), F.lit(0)) > 0
+    return r.withColumn("hidden", inside | (F.col("__k") == 2)).select(*keys, *order, *[c for c in ops.columns if c not in keys and c not in order], "hidden")

@@ -8,8 +8,6 @@ query, which is a scan inside the row: no shuffle, whatever the number of pages.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,16 +31,13 @@ def count(index: DataFrame, query: str) -> DataFrame:
 
 def starts(norm: Column, query: str) -> Column:
     """Positions of the matches in a normalised text."""
-    size = len(query)
-
-    def running(parts: Column) -> Column:
-        return F.aggregate(
-            F.slice(parts, 1, F.size(parts) - 1),
-            F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("found")),
-            lambda s, x: F.struct((s["at"] + F.length(x) + size).alias("at"), F.array_append(s["found"], s["at"] + F.length(x)).alias("found")),
-        )["found"]
-
-    return let(F.split(norm, quote(query), -1), running)
+    if not query:
+        return F.expr("cast(array() as array<int>)")
+    # A mark stands in for each match, so the blanked text is as long as the page and its marks are where matches begin.
+    mark = "\x00" + "\x01" * (len(query) - 1)
+    clean = F.translate(norm, "\x00", "\x01")
+    marked = F.split(F.regexp_replace(clean, quote(query), mark), "")
+    return F.filter(F.transform(marked, lambda c, i: F.when(c == "\x00", i)), lambda i: i.isNotNull())
 
 
 def positions(index: DataFrame, query: str) -> DataFrame:
@@ -57,8 +52,13 @@ def positions(index: DataFrame, query: str) -> DataFrame:
 
 def multi(index: DataFrame, queries: list[str]) -> DataFrame:
     """query, doc_id, page_index, n_matches for each of several queries (a stated, small list)."""
-    parts = [count(index, q).withColumn("query", F.lit(q)) for q in queries]
-    return reduce(DataFrame.unionByName, parts).select("query", "doc_id", "page_index", "n_matches")
+    # One pass over the index: a page is normalised once, whatever the number of queries.
+    asked = [(q, n) for q in queries if (n := normalise_query(q))]
+    if not asked:
+        return index.select(F.lit("").alias("query"), "doc_id", "page_index", F.lit(0).cast("long").alias("n_matches")).where(F.lit(False))
+    found = [F.struct(F.lit(q).alias("query"), (F.size(F.split("norm", quote(n), -1)) - 1).cast("long").alias("n")) for q, n in asked]
+    hits = index.select("doc_id", "page_index", F.explode(F.filter(F.array(*found), lambda x: x["n"] > 0)).alias("hit"))
+    return hits.select("hit.query", "doc_id", "page_index", F.col("hit.n").alias("n_matches"))
 
 
 def kept(lines: Column) -> Column:
@@ -71,23 +71,33 @@ def kept(lines: Column) -> Column:
     )
 
 
-def quads(index: DataFrame, query: str) -> DataFrame:
-    """A row per match and line it touches: columns of the line, and the merged box of its glyphs."""
-    q = normalise_query(query)
-    found = index.where(F.contains("norm", F.lit(q))) if q else index.where(F.lit(False))
-    place = found.select(
-        "doc_id", "page_index", kept(F.col("lines")).alias("kept"), textlayer.starts(F.col("lines")).alias("at"),
-        F.transform("lines", lambda x: F.length(x)).alias("size"), starts(F.col("norm"), q or " ").alias("starts"),
-    )
-    # All of a page's matches at once, so the page's arrays are not copied for each.
-    ends = place.select(
-        "doc_id", "page_index", "at", "size",
-        F.posexplode(F.expr(f"transform(starts, s -> named_struct('a', kept[s], 'b', kept[s + {max(1, len(q))} - 1]))")).alias("match_index", "span"),
+def quads(index: DataFrame, query: str | list[str]) -> DataFrame:
+    """A row per match and line it touches: columns of the line, and the merged box of its glyphs.
+
+    Of several queries the matches are numbered query by query; a page is read once for all.
+    """
+    asked = [q for q in map(normalise_query, [query] if isinstance(query, str) else query) if q]
+    any_hit = F.lit(False)
+    for q in asked:
+        any_hit = any_hit | F.contains("norm", F.lit(q))
+
+    def span(n: int):
+        return lambda s: F.struct(F.get("kept", s).alias("a"), F.get("kept", s + (n - 1)).alias("b"))
+
+    spans = [F.transform(starts(F.col("norm"), q), span(len(q))) for q in asked]
+    place = index.where(any_hit).select(
+        "doc_id", "page_index", "norm", kept(F.col("lines")).alias("kept"), textlayer.starts(F.col("lines")).alias("at"), F.transform("lines", lambda x: F.length(x)).alias("size"),
     )
-    a, b = F.col("span.a"), F.col("span.b")
-    rows = ends.select("doc_id", "page_index", "match_index", a.alias("a"), b.alias("b"), F.posexplode(F.arrays_zip("at", "size")).alias("line_no", "line"))
-    first, last = F.greatest(F.col("a") - F.col("line.at"), F.lit(0)), F.least(F.col("b") - F.col("line.at"), F.col("line.size") - 1)
-    rows = rows.select("doc_id", "page_index", "match_index", "line_no", first.alias("first"), last.alias("last")).where("first <= last")
+    none = F.expr("cast(array() as array<struct<a:int,b:int>>)")
+    # All of a page's matches at once, so the page's arrays are not copied for each; of its lines only those a match touches become rows.
+    ends = place.select("doc_id", "page_index", "at", "size", F.posexplode(F.concat(*spans) if spans else none).alias("match_index", "span"))
+    cut = F.transform(
+        F.arrays_zip("at", "size"),
+        lambda x, i: F.struct(
+            i.alias("line_no"), F.greatest(F.col("span.a") - x["at"], F.lit(0)).alias("first"), F.least(F.col("span.b") - x["at"], x["size"] - 1).alias("last")
+        ),
+    )
+    rows = ends.select("doc_id", "page_index", "match_index", F.explode(F.filter(cut, lambda x: x["first"] <= x["last"])).alias("x")).select("doc_id", "page_index", "match_index", "x.*")
     box = textlayer.run_box(F.col("line_no"), F.col("first"), F.col("last"))
     return rows.select(
         "doc_id", "page_index", F.col("match_index").cast("long").alias("match_index"), F.col("line_no").cast("long").alias("line_no"),

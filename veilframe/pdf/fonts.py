@@ -32,9 +32,10 @@ _SIGNS = dict(
 )
 #: Accents as the second part of a letter's name.
 _ACCENTS = {"grave": "̀", "acute": "́", "circumflex": "̂", "tilde": "̃", "macron": "̄", "breve": "̆", "dotaccent": "̇", "dieresis": "̈", "ring": "̊", "hungarumlaut": "̋", "caron": "̌", "cedilla": "̧", "ogonek": "̨"}
-#: Encodings of composite fonts whose codes are two bytes; the last two are read as UTF-16.
-_IDENTITY = ("Identity-H", "Identity-V")
-_UNICODE = re.compile(r"Uni(?:GB|JIS|CNS|KS)-(UCS2|UTF16)-[HV]")
+#: Encodings of composite fonts whose codes are two bytes: CIDs, or the units of UCS-2 or UTF-16. Lines that run down the
+#: page are not laid out, so encodings for them are refused rather than laid out across it.
+_IDENTITY = ("Identity-H",)
+_UNICODE = re.compile(r"Uni(?:GB|JIS|CNS|KS)-(UCS2|UTF16)-H")
 
 
 def glyph_char(name: str) -> str | None:
@@ -78,10 +79,12 @@ class Font:
         out, i = [], 0
         while i + 1 < len(raw):
             code, n = raw[i] << 8 | raw[i + 1], 2
-            if self.utf16 and 0xD800 <= code < 0xDC00 and i + 3 < len(raw):
-                n = 4
-            if self.unicode_keys:
-                ch = self.to_unicode.get(code) or raw[i : i + n].decode("utf-16-be", "replace")
+            if self.utf16 and 0xD800 <= code < 0xDC00:  # the first half of a pair, which ToUnicode has no key for
+                if not (i + 3 < len(raw) and 0xDC <= raw[i + 2] < 0xE0):
+                    raise PdfError("Corrupt", "half a UTF-16 pair")
+                ch, n = raw[i : i + 4].decode("utf-16-be"), 4
+            elif self.unicode_keys:
+                ch = UNKNOWN if 0xD800 <= code < 0xE000 else self.to_unicode.get(code) or chr(code)
             else:
                 ch = self.to_unicode.get(code) or (chr(code) if 32 <= code < 127 else UNKNOWN)
             out.append((ch, self.widths.get(code, self.default), i, i + n))

@@ -95,7 +95,7 @@ def q03_page_tree_inherit(spark, d):
     r = t(spark, d, "region").select((F.col("r_regionkey") + 100).cast("long").alias("node"), F.lit(0).cast("long").alias("parent"), F.when(F.col("r_regionkey") % 2 == 1, 90).cast("long").alias("rotate"), F.when(F.col("r_regionkey") % 3 == 0, 500).cast("long").alias("width"))
     n = t(spark, d, "nation").select((F.col("n_nationkey") + 1000).cast("long").alias("node"), (F.col("n_regionkey") + 100).cast("long").alias("parent"), F.when(F.col("n_nationkey") % 3 == 0, 180).cast("long").alias("rotate"), F.lit(None).cast("long").alias("width"))
     root = spark.createDataFrame([(0, None, 0, 612)], "node long, parent long, rotate long, width long")
-    return _longs(graph.inherit(root.unionByName(r).unionByName(n), ["rotate", "width"]), "depth")
+    return _longs(graph.inherit(root.unionByName(r).unionByName(n), ["rotate", "width"]).drop("error"), "depth")
 
 
 def q04_extract_text(spark, d):
@@ -192,9 +192,7 @@ def _redacted(mode):
 
 
 def q21_removed_count(spark, d):
-    i = _index(spark, d)
-    spans = search.quads(i, ONE).unionByName(search.quads(i, QUERY))
-    return redact.removed_count(spans, ["doc_id"])
+    return redact.removed_count(search.quads(_index(spark, d), [ONE, QUERY]), ["doc_id"])
 
 
 def q22_kern_runs(spark, d):
