@@ -50,7 +50,7 @@ def test_chat_escapes_are_reversible(text):
     assert chat.unescape(chat.escape(text)) == text
     assert not any(m in chat.escape(text) for m in (chat.START, chat.SEP, chat.END))
     turns = [("user", text), (text, text), ("assistant", text), ("assistant", text)]
-    f = chat.Formatter(chat.default_tokenizer())
+    f = chat.Formatter(chat.read_tokenizer())
     out, ids, mask, runs = f.segment(turns)
     assert chat.parse(out) == turns
     under = "".join(chat.unescape(out[a:b]) for a, b in runs)
@@ -62,7 +62,7 @@ def test_chat_segments_do_not_matter(spark, monkeypatch):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     whole = {r.conv_id: r for r in chat.digests(df).collect()}
     state = chat._State(1)
-    f = chat.Formatter(chat.default_tokenizer())
+    f = chat.Formatter(chat.read_tokenizer())
     for r in rows[:40]:
         state.add(r[2], r[3])
         state.flush(f)
@@ -452,6 +452,19 @@ def test_encoding_is_lossless(model, text):
     assert model.decode(model.encode([text])[0][0].tolist()) == text
 
 
+def test_scores_are_log_probabilities(model, docs):
+    import sentencepiece
+
+    assert sum(math.exp(s) for s, _ in model.edge.values()) == pytest.approx(1, abs=0.02)
+    assert pieces.log_probabilities([0.0, -1.5, -2.25], {0}) == [0.0, -1.5, -2.25]  # those of a unigram model stay
+    assert [len(x[0]) for x in model.encode(["hello world", "straight on"])] == [3, 2]
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    words = [w for r in docs.limit(200).collect() for w in (r.text or "").split(" ") if w][:20_000]
+    assert sum(a[0].tolist() == b for a, b in zip(model.encode(words, 1), sp.encode(words))) > 0.85 * len(words)
+    texts = ["of an ordinary text, 1 2 3.", "Straße 日本 x"]
+    assert [sp.decode(x[0].tolist()) for x in model.encode(texts)] == texts
+
+
 def test_pieces_in_spark(spark, docs):
     out = pieces.encode(docs).cache()
     assert out.where("not round_trip").count() == 0

@@ -78,22 +78,22 @@ def discard(*cuts: DataFrame) -> None:
         system.delete(there, True)
 
 
-#: A key is hot that holds more than this share of the rows, and more than so many; hence at most ``SHARE`` hot keys.
+#: At most so many keys are dealt to several tasks, and none of so few rows.
 SHARE, LEAST = 4096, 256
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: str, by: list[str], how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
     """``left`` joined with ``right`` (a row a key, or few) on the long column ``on``, whatever share of ``left`` a key holds.
 
-    Rows of a hot key are dealt to several tasks by a hash of ``by``, and its row of ``right``
-    goes to each. Hot keys are found by counting ``counted``, a table (``left`` unless given);
-    there are at most ``SHARE``, which bounds what is broadcast.
+    Rows of the ``SHARE`` most frequent keys (of ``counted``, a table; ``left`` unless given) are dealt
+    to several tasks by a hash of ``by``, and their rows of ``right`` go to each. So no key that is
+    left whole has over 1 / ``SHARE`` of the rows, and what is broadcast is bounded.
     """
-    counted = left if counted is None else counted
-    limit = max(LEAST, counted.count() // SHARE)
-    hot = counted.groupBy(on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit).where(F.col(on).isNotNull()).collect()
+    counts = (left if counted is None else counted).groupBy(on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > LEAST).where(F.col(on).isNotNull())
+    hot = counts.orderBy(F.desc("__n"), on).limit(SHARE).collect()
     if not hot:
         return left.join(right, on, how)
+    limit = max(LEAST, sum(r[1] for r in hot) // SHARE)  # twice ``SHARE`` parts at most
     parts = F.broadcast(left.sparkSession.createDataFrame([(r[0], -(-r[1] // limit)) for r in hot], f"`{on}` long, __parts int"))
     dealt = left.join(parts, on, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*by), "__parts").cast("int"), F.lit(0))).drop("__parts")
     every = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))

@@ -1,7 +1,9 @@
 """SentencePiece encoding and decoding with N-best segmentation.
 
-The pieces and scores of a public SentencePiece model span a lattice over a text.
-A forward Viterbi pass gives the best score of every prefix; these are exact
+The pieces of a public SentencePiece model span a lattice over a text. Their scores
+are log probabilities: the model's own if it has them (a unigram model); a model made by
+merging has ranks instead, and a piece of rank r gets the probability that Zipf's law gives
+it, proportional to 1 / (r + ``ZIPF``). A forward Viterbi pass gives the best score of every prefix; these are exact
 heuristics for an A* search that runs backwards from the end of the text, so the
 search pops complete segmentations in order of score. No piece crosses the start of
 a word (checked when the model is loaded), so the lattice of a text is a chain of
@@ -9,7 +11,9 @@ lattices of chunks: the best segmentation is the chain of the chunks' best ones,
 a text's N best differ from it in at most N - 1 chunks, those of the smallest loss.
 A forward and a backward pass find each distinct chunk's loss; A* runs on those few.
 
-Encoding is lossless: a space is the model's word mark, characters that no piece
+A merging model's own encoder merges greedily; the best segmentation here is the most
+probable one, which is the same for about nine words of ten. Ids are the model's, and its own
+decoder gives the text back. Encoding is lossless: a space is the model's word mark, characters that no piece
 holds become byte pieces, and a literal word mark in a text is encoded as bytes.
 
 Defined results: null text: no ids (an empty list), no alternatives; the empty text
@@ -34,6 +38,8 @@ MARK = "▁"
 #: Added to the lowest score for a character that no piece holds.
 UNKNOWN = -10.0
 N_BEST = 4
+#: Offset of the ranks of a merging model.
+ZIPF = 30
 #: Chunks a worker remembers, at most (about 250 bytes each).
 MEMO = 300_000
 
@@ -107,7 +113,7 @@ class Pieces:
         if not all(sp.is_byte(i) for i in byte_ids):
             raise ValueError("the model has no byte pieces")
         control = {i for i in n if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
-        return cls([sp.id_to_piece(i) for i in n], [sp.get_score(i) for i in n], byte_ids, control)
+        return cls([sp.id_to_piece(i) for i in n], log_probabilities([sp.get_score(i) for i in n], control | set(byte_ids)), byte_ids, control)
 
     def split(self, text: str | None) -> list[str]:
         return self.chunks.findall(" " + text) if text else []
@@ -331,6 +337,16 @@ class Pieces:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+def log_probabilities(scores: list[float], skip: set[int]) -> list[float]:
+    """Scores that are log probabilities as they are; whole numbers below 0 are ranks, of which Zipf's law makes some."""
+    own = [s for i, s in enumerate(scores) if i not in skip]
+    if not all(s <= 0 and s == int(s) for s in own):
+        return scores
+    rank = [min(-s, float(len(scores))) for s in scores]  # pieces that are never merged count as the last
+    total = sum(1 / (r + ZIPF) for i, r in enumerate(rank) if i not in skip)
+    return [-float(np.log((r + ZIPF) * total)) for r in rank]
+
+
 def _smallest(loss: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k smallest values, of equals the first."""
     if k <= 0:
@@ -398,6 +414,6 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(_decode(held), "doc_id long, text string")
 
 
-def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's best ids, next best segmentations, and whether decoding gives the text back."""
-    return encode(common.table(spark, sf_dir, "documents"))
+def op7_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """Every document's best ids, next best segmentations, and whether decoding gives the text back; ``model``: path of the vocabulary file."""
+    return encode(common.table(spark, sf_dir, "documents"), model)
