@@ -7,8 +7,7 @@ sites of its lines (HyperLogLog), and sketches, not rows, meet by line. Lines wh
 lies near the threshold get an exact distinct count. Boilerplate stays in the document
 of the smallest id that holds it and goes from all others.
 
-Built-in functions only. Texts themselves are shuffled once, to meet the lines that they
-lose, and not at all where the table of losses is small enough to be broadcast.
+Built-in functions only. Texts themselves are shuffled once, to meet the lines that they lose.
 
 Defined results: a null text stays null and has no lines; a null site is a site of
 its own; a line without a word is never boilerplate (nor one of fewer than ``min_words``
@@ -97,9 +96,7 @@ def dedup_lines(docs: DataFrame, spread: int = SPREAD, prefix: str = "", min_wor
         met = common.salted_join(lines, found, "h", ["doc_id"])
     losses = common.cut(met.where(F.col("doc_id") != F.col("owner")).groupBy("doc_id").agg(F.collect_set("h").alias("__lost")))
     lost, key = common.fresh(docs, "lost", "key")
-    losses = losses.select(F.col("doc_id").alias(key), F.col("__lost").alias(lost))
-    # An array of a document's lost lines each: a tenth of the rows that ``few`` allows.
-    losses = F.broadcast(losses) if losses.limit(common.FEW // 10 + 1).count() <= common.FEW // 10 else losses
+    losses = losses.select(F.col("doc_id").alias(key), F.col("__lost").alias(lost)).hint("merge")  # alike at every size
     joined = docs.join(losses, docs["doc_id"] == losses[key], "left").drop(key)
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda x: ~(F.array_contains(F.col(lost), line_hash(x)) & x.rlike(_WORDS % (min_words - 1))))
