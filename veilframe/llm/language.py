@@ -183,12 +183,14 @@ def fit(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGUAGE)
     ok = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.bucket(F.col("doc_id"), 3) != 1))
     # Tasks send no more than ``per_language`` rows of a language (a group limit below the window).
     place = F.row_number().over(Window.partitionBy("lang").orderBy("__h", "doc_id"))
-    picked = ok.select("lang", "doc_id", F.xxhash64("doc_id").alias("__h")).withColumn("__n", place).where(F.col("__n") <= per_language).select("lang", "doc_id").collect()
+    picked = ok.select("lang", "doc_id", F.xxhash64("doc_id").alias("__h")).distinct().withColumn("__n", place).where(F.col("__n") <= per_language).select("lang", "doc_id").collect()
     if not picked:
         return Model([], {})
     chosen = spark.createDataFrame([(r[0], r[1]) for r in picked], "lang string, doc_id long")
-    rows = ok.join(F.broadcast(chosen), ["lang", "doc_id"]).select("doc_id", "lang", "text").collect()
-    return train([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"]))])
+    # Of a repeated id the smallest text stands for all; a very long text is no example.
+    texts = ok.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    rows = texts.where(F.length("text") <= common.EXAMPLE_CHARS).orderBy("doc_id", "lang").collect()
+    return train([(r["text"], r["lang"]) for r in rows])
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:

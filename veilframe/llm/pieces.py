@@ -12,7 +12,7 @@ a text's N best differ from it in at most N - 1 chunks, those of the smallest lo
 A forward and a backward pass find each distinct chunk's loss; A* runs on those few.
 
 A merging model's own encoder merges greedily; the best segmentation here is the most
-probable one, which is the same for about nine words of ten. Ids are the model's, and its own
+probable one, which is the same for four words of five or more. Ids are the model's, and its own
 decoder gives the text back. Encoding is lossless: a space is the model's word mark, characters that no piece
 holds become byte pieces, and a literal word mark in a text is encoded as bytes.
 
@@ -38,6 +38,8 @@ MARK = "▁"
 #: Added to the lowest score for a character that no piece holds.
 UNKNOWN = -10.0
 N_BEST = 4
+#: Scores are whole multiples of 1 / UNIT.
+UNIT = 1 << 20
 #: Offset of the ranks of a merging model.
 ZIPF = 30
 #: Chunks a worker remembers, at most (about 250 bytes each).
@@ -76,6 +78,8 @@ class Pieces:
             self.surface[i] = bytes([b])
         skip = control | set(byte_ids)
         self.byte_ids = byte_ids
+        # In whole units, so that sums are exact and ties are ties in whatever order they are added up.
+        scores = [round(x * UNIT) / UNIT for x in scores]
         self.edge = {p.replace(MARK, " "): (scores[i], (i,)) for i, p in enumerate(pieces) if i not in skip and p}
         # The finest cut that no piece crosses: a boundary depends on two characters only, so a crossing piece would be cut itself.
         self.chunks = next((c for c in map(re.compile, _CUTS) if all(len(c.findall(p)) == 1 for p in self.edge)), None)

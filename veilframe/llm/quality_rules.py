@@ -117,11 +117,12 @@ def repeat_words(words: Column) -> Column:
 
 
 def statistics(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with the base counts and the ``FEATURES``, each name behind ``prefix``."""
+    """``docs`` with the base counts and the ``FEATURES``, each name behind ``prefix``; a column of such a name is replaced."""
     base = base_columns(F.col(f"`{text}`"))
     p = lambda n: f"{prefix}{n}"
-    out = docs.withColumns({p(k): v for k, v in base.items()})
-    w = F.col(p("words"))
+    (words,) = common.fresh(docs, "words")
+    out = docs.withColumns({words if k == "words" else p(k): v for k, v in base.items()})
+    w = F.col(words)
     same_next = F.when(
         F.size(w) > 1,
         _let(w, lambda x: F.size(F.filter(F.transform(x, lambda v, j: v == F.get(x, j - 1)), lambda b: b))),
@@ -133,7 +134,7 @@ def statistics(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFra
             p("n_distinct"): F.size(F.array_distinct(w)).cast("long"),
             p("n_same_next"): same_next.cast("long"),
         }
-    ).drop(p("words"))
+    ).drop(words)
     chars, n = F.greatest(F.col(p("word_chars")), F.lit(1)), F.greatest(F.col(p("n_words")), F.lit(1))
     ratio = lambda a, b: F.col(p(a)).cast("double") / b
     return out.withColumns(
@@ -238,11 +239,8 @@ def verdict(rules: list[Rule], of: dict[str, Column]) -> tuple[Column, Column]:
 
 def examples(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[dict]:
     """Labelled statistics (a bounded sample) to learn from; base failures are left to the base rule."""
-    rows = common.labelled_sample(spark, docs, labels, "quality", per_class)
-    if not rows:
-        return []
-    texts = spark.createDataFrame([(r["doc_id"], r["text"], r["label"]) for r in rows], "doc_id bigint, text string, label int")
-    got = statistics(texts).where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    # Counted where the texts are: numbers alone reach the driver.
+    got = statistics(common.sample(spark, docs, labels, "quality", per_class)).where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
     return [r.asDict() for r in got.select("doc_id", "label", *FEATURES).orderBy("doc_id").collect()]
 
 
