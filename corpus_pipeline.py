@@ -7,8 +7,6 @@ An empty table passes through all stages; nulls are treated as each operator sta
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,13 +58,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what lies between them is written to the shared folder."""
-    docs = common.table(spark, sf_dir, "documents")
-    common.shared_folder(spark)
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = f"{base}/{k}_{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    docs, written = common.table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs = common.cut(stage(spark, docs, sf_dir))
+        if written is not None:
+            common.discard(written)  # what the next stage reads is there
+        written = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -168,7 +168,8 @@ def test_merge_of_match_boxes():
 
 def test_page_tree_inheritance_and_cycles(spark):
     nodes = spark.createDataFrame([(0, None, 0), (1, 0, 90), (2, 1, None), (3, 9, 1), (9, 3, 1)], "node long, parent long, rotate long")
-    assert {r.node: (r.depth, r.rotate) for r in graph.inherit(nodes, ["rotate"]).collect()} == {0: (0, 0), 1: (1, 90), 2: (2, 90)}
+    found = {r.node: (r.depth, r.rotate, r.error) for r in graph.inherit(nodes, ["rotate"]).collect()}
+    assert found == {0: (0, 0, None), 1: (1, 90, None), 2: (2, 90, None), 3: (None, 1, "Corrupt"), 9: (None, 1, "Corrupt")}
 
 
 @given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=15), st.sets(st.integers(0, 9), min_size=1, max_size=3))

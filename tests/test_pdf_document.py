@@ -7,7 +7,7 @@ import zlib
 
 import pytest
 
-from veilframe.pdf import builder, content, crypto, filters, layout, reader, redactor, writer
+from veilframe.pdf import builder, content, crypto, filters, fonts, layout, reader, redactor, writer
 from veilframe.pdf.document import PdfDocument, search_targets
 from veilframe.pdf.lexer import serialise
 from veilframe.pdf.model import File, Name, PdfError, Ref, Stream
@@ -132,6 +132,26 @@ def test_composite_fonts():
         _type0("90ms-RKSJ-H", b"<4E2D>").extract_text(0)
 
 
+@pytest.mark.parametrize("raw", [b"\xd8\x40", b"\xd8\x40\x4e\x2d", b"\x4e\x2d\xd8\x40", b"\x4e\x2d\x00"])
+def test_half_a_pair_is_corrupt(raw):
+    font = fonts.Font(composite=True, utf16=True, unicode_keys=True)
+    with pytest.raises(PdfError, match="Corrupt"):
+        font.decode(raw)
+
+
+def test_pairs_have_no_key_in_to_unicode():
+    font = fonts.Font(composite=True, utf16=True, unicode_keys=True, to_unicode={0x4E2D: "Z", 0xD840: "WRONG"})
+    assert [(g[0], g[2], g[3]) for g in font.decode(bytes.fromhex("D840DC004E2DDC00"))] == [("\U00020000", 0, 4), ("Z", 4, 6), ("\ufffd", 6, 8)]
+    assert [g[0] for g in fonts.Font(composite=True, unicode_keys=True).decode(b"\xd8\x40\xdc\x00")] == ["\ufffd"] * 2
+
+
+@pytest.mark.parametrize("name", ["Identity-V", "UniJIS-UTF16-V", "UniGB-UCS2-V", "90ms-RKSJ-H", ""])
+def test_encodings_that_are_refused(name):
+    with pytest.raises(PdfError, match="Unsupported"):
+        fonts.load(builder.assemble([]), {"Subtype": Name("Type0"), "Encoding": Name(name), "DescendantFonts": [{}]})
+
+
+
 def test_widths_default_below_the_first_code():
     font = builder.HELVETICA | {"FirstChar": 66, "Widths": [1000, 250]}
     g = doc_of(b"BT /F1 10 Tf 72 700 Td (ABC) Tj ET", extra={5: font})._layout(0).glyphs

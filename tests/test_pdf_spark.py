@@ -45,6 +45,21 @@ def test_table_function(spark, tmp_path):
     pdf.files(spark, _folder(tmp_path)).createOrReplaceTempView("pdf_files")
     got = spark.sql("SELECT path, count(*) AS n FROM pdf_files, LATERAL pdf_glyphs(content) WHERE ch = 'e' GROUP BY path").collect()
     assert sorted(r.n for r in got) == [2, 6]
+    bad = spark.sql("SELECT path, error FROM pdf_files, LATERAL pdf_glyphs(content) WHERE error IS NOT NULL").collect()
+    assert [(r.path.rpartition("/")[2], r.error) for r in bad] == [("broken.pdf", "Parse")]
+
+
+def test_a_plan_of_each_document(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(n, builder.from_text("Secret Alpha\nSecret Beta")) for n in "abcde"], "path string, content binary")
+    rect = '{"kind": "rect", "pageIndex": %d, "x": 70, "y": 715, "width": 39, "height": 10}'
+    plans = [("a", '{"mode": "strip", "targets": [%s]}' % (rect % 0)), ("b", '{"targets": [%s]}' % (rect % 7)), ("c", '{"mode": "burn"}'), ("d", "[1]")]
+    done = pdf.redact(pdf.with_plans(docs, spark.createDataFrame(plans, "path string, plan string")), None, ["beta"])
+    got = {r.path: (r.report and r.report.text_glyphs_removed, r.error and r.error.code) for r in done.collect()}
+    assert got == {"a": (11, None), "b": (None, "InvalidPageIndex"), "c": (None, "UnsupportedOption"), "d": (None, "UnsupportedOption"), "e": (4, None)}
+    text = pdf.pages(done.where("path = 'a'").select("path", F.col("pdf").alias("content"))).first().text
+    assert text.split() == ["Alpha", "Secret"]
 
 
 def test_arrival_stream_takes_each_file_once(spark, tmp_path):

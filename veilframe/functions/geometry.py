@@ -77,6 +77,12 @@ def quad_bounds(quad: Column) -> Rect:
     return Rect(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
 
 
+def well_formed(quads: Column) -> Column:
+    """The quads of an array that have four points with both coordinates."""
+    there = lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"].cast("double")) & ~F.isnan(p["y"].cast("double"))
+    return F.filter(quads, lambda q: (F.size(q) == 4) & F.forall(q, lambda p: p.isNotNull() & there(p)))
+
+
 @dataclass(frozen=True)
 class Matrix:
     a: Column
@@ -129,6 +135,15 @@ class Matrix:
         x, y = _c(x), _c(y)
         return self.a * x + self.c * y + self.e, self.b * x + self.d * y + self.f
 
+    def quad(self, quad: Column) -> Column:
+        """Each point of an array of points, transformed."""
+
+        def moved(p: Column) -> Column:
+            x, y = self.point(p["x"], p["y"])
+            return F.struct(x.alias("x"), y.alias("y"))
+
+        return F.transform(quad, moved)
+
     def rect(self, r: Rect) -> Rect:
         """Bounding box of the transformed rectangle."""
         corners = [self.point(x, y) for x in (r.x0, r.x1) for y in (r.y0, r.y1)]

@@ -16,14 +16,20 @@ def encoding_table(spark) -> DataFrame:
     return spark.createDataFrame(rows, "encoding string, code int, base string")
 
 
-def decode(codes: DataFrame, to_unicode: DataFrame, differences: DataFrame, widths: DataFrame) -> DataFrame:
+def decode(codes: DataFrame, to_unicode: DataFrame, differences: DataFrame, widths: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``ch`` and ``width`` of each code: ToUnicode first, then differences, then the base encoding, else U+FFFD.
 
-    The tables have at most 256 rows an encoding, so they are broadcast.
+    ``keys`` name a font (document, page, name ...) in ``codes`` and in the three tables; without them all codes
+    are of one font. The tables of a font become one row a code first, so codes are joined once,
+    and that join may be a broadcast or not, as their size is. The encodings are of fixed size.
     """
-    small = lambda df, c, n: F.broadcast(df.select("code", F.col(c).alias(n)))
-    out = codes.join(small(to_unicode, "ch", "__u"), "code", "left").join(small(differences, "ch", "__d"), "code", "left")
-    out = out.join(F.broadcast(encoding_table(codes.sparkSession)), ["encoding", "code"], "left").join(small(widths, "width", "__w"), "code", "left")
+    keys = [*(keys or []), "code"]
+    parts = []
+    for df, column, name in ((to_unicode, "ch", "__u"), (differences, "ch", "__d"), (widths, "width", "__w")):
+        none = [F.lit(None).cast("int" if n == "__w" else "string").alias(n) for n in ("__u", "__d", "__w") if n != name]
+        parts.append(df.select(*keys, F.col(column).alias(name), *none))
+    own = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("__u", "__d", "__w")])
+    out = codes.join(own, keys, "left").join(F.broadcast(encoding_table(codes.sparkSession)), ["encoding", "code"], "left")
     return out.withColumns({"ch": F.coalesce("__u", "__d", "base", F.lit("�")), "width": F.coalesce("__w", F.lit(DEFAULT_WIDTH))}).drop("__u", "__d", "base", "__w")
 
 

@@ -160,6 +160,12 @@ def hash_2b(password: bytes, salt: bytes, user: bytes, revision: int) -> bytes:
     return k[:32]
 
 
+def object_key(key: bytes, ref: Ref, method: str) -> bytes:
+    """The key of one object's strings and stream."""
+    material = key + ref.num.to_bytes(3, "little") + ref.gen.to_bytes(2, "little") + (b"sAlT" if method == "AESV2" else b"")
+    return hashlib.md5(material).digest()[: min(16, len(key) + 5)]
+
+
 @dataclass
 class Handler:
     """Decrypts strings and streams with the methods (V2, AESV2, AESV3, Identity) of each."""
@@ -174,8 +180,7 @@ class Handler:
             return raw
         if method == "AESV3":
             return open_sealed(self.key, raw)
-        material = self.key + ref.num.to_bytes(3, "little") + ref.gen.to_bytes(2, "little") + (b"sAlT" if method == "AESV2" else b"")
-        key = hashlib.md5(material).digest()[: min(16, len(self.key) + 5)]
+        key = object_key(self.key, ref, method)
         return open_sealed(key, raw) if method == "AESV2" else rc4(key, raw)
 
 

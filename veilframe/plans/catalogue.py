@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions import encodings
-from veilframe.functions.geometry import Matrix, Rect, luminance, page_size, page_transform
+from veilframe.functions.geometry import Matrix, Rect, luminance, page_size, page_transform, quad_bounds, well_formed
 from veilframe.operators import fonts, graph, images, redact, sanitize, search, targets, textlayer, visual
 from veilframe.session import table as t
 
@@ -353,26 +353,38 @@ def q45_number_format(spark, d):
     return t(spark, d, "lineitem").select("l_partkey").distinct().select("l_partkey", number(v, 4).alias("number"), literal(F.concat(F.lit("a(b)\\"), F.col("l_partkey").cast("string"))).alias("literal"))
 
 
-def q46_aes_decrypt(spark, d):
-    """Strings encrypted with an initial vector before them and padding, decrypted by the built-in function."""
-    key, iv = F.lit("000102030405060708090a0b0c0d0e0f"), F.unhex(F.md5(F.col("c_custkey").cast("string").cast("binary")))
-    sealed = F.aes_encrypt(F.col("c_name"), F.unhex(key), F.lit("CBC"), F.lit("PKCS"), iv)
-    return t(spark, d, "customer").select("c_custkey", F.try_aes_decrypt(sealed, F.unhex(key), F.lit("CBC"), F.lit("PKCS")).cast("string").alias("name"))
-
-
-def q47_object_key(spark, d):
-    """Per-object keys: digest of file key, object number and generation, little-endian."""
-    n = F.col("p_partkey")
-    low = F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * i).bitwiseAND(255)), 2, "0") for i in range(3)])
-    return t(spark, d, "part").select("p_partkey", F.substring(F.md5(F.concat(F.unhex(F.lit("0011223344")), F.unhex(low), F.unhex(F.lit("0000")))), 1, 20).alias("key"))
-
-
 def q48_conversation_search(spark, d):
     """Search over turns of conversations: the text layer of any table of texts."""
     docs = t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
     return search.count(search.index(textlayer.pages(docs)), ONE)
 
 
+def q52_fonts_of_documents(spark, d):
+    """Codes of many fonts, each with ToUnicode, differences and widths of its own."""
+    codes = t(spark, d, "events").select(
+        "event_id", (F.col("user_id") % 40).alias("font"), (F.col("event_id") % 256).cast("int").alias("code"), F.element_at(F.array(*map(F.lit, encodings.NAMES)), (F.col("user_id") % 3 + 1).cast("int")).alias("encoding")
+    )
+    every = codes.select("font").distinct().select("font", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("code"))
+    char = lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 4, "0")), "UTF-16BE")
+    n = F.col("code") + F.col("font")
+    to_unicode = every.where(n % 7 == 0).select("font", "code", char(0x3B1 + n % 20).alias("ch"))
+    differences = every.where(n % 5 == 0).select("font", "code", char(0x410 + n % 30).alias("ch"))
+    widths = every.where("code between 32 and 126").select("font", "code", (250 + n).cast("int").alias("width"))
+    return _longs(fonts.decode(codes, to_unicode, differences, widths, ["font"]), "code", "width")
+
+
+def q54_quad_transform(spark, d):
+    """Quads, of which some lack a point or a coordinate, through a matrix; and the bounds of each."""
+    k = F.col("p_partkey")
+    m = Matrix.rotate(90 * (k % 4)).then(Matrix.translate((k % 50).cast("double"), F.lit(5.0)))
+    whole = Rect.of((k % 30).cast("double"), F.lit(0.0), (k % 30 + 10).cast("double"), F.lit(4.0)).quad()
+    broken = F.concat(F.slice(whole, 1, 3), F.array(F.struct(F.lit(None).cast("double").alias("x"), F.lit(1.0).alias("y"))))
+    quads = well_formed(F.when(k % 3 == 0, F.array(F.slice(whole, 1, 3), whole)).when(k % 3 == 1, F.array(whole, broken)).otherwise(F.array(whole, whole)))
+    each = t(spark, d, "part").select("p_partkey", F.posexplode(F.transform(quads, m.quad)).alias("n", "quad"))
+    b = quad_bounds(F.col("quad"))
+    return _longs(each.select("p_partkey", "n", *[F.round(c).alias(x) for x, c in zip(("x0", "y0", "x1", "y1"), (b.x0, b.y0, b.x1, b.y1))], F.round(F.col("quad")[0]["x"]).alias("first_x")), "n", "x0", "y0", "x1", "y1", "first_x")
+
+
 def _pdf(name):
     def run(spark, d):
         from veilframe.plans import pdf_queries
@@ -382,13 +394,14 @@ def _pdf(name):
     return run
 
 
-_NOT_SQL = ("q12_visual_lines", "q39_filters_roundtrip", "q40_pdf_roundtrip", "q49_pdf_search", "q50_pdf_objects")
+_NOT_SQL = ("q12_visual_lines", "q40_pdf_roundtrip")
+_PDF = ("q39_filters_roundtrip", "q40_pdf_roundtrip", "q46_aes_decrypt", "q47_object_key", "q49_pdf_search", "q50_pdf_objects", "q51_plan_per_document", "q53_decrypt_documents")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {k: f for k, f in globals().items() if k[:1] == "q" and k[1:3].isdigit()}
     named |= {"q18_redact_strip": _redacted("strip"), "q19_redact_erase": _redacted("erase"), "q20_redact_fill": _redacted("redact")}
-    named |= {k: _pdf(k) for k in ("q39_filters_roundtrip", "q40_pdf_roundtrip", "q49_pdf_search", "q50_pdf_objects")}
+    named |= {k: _pdf(k) for k in _PDF}
     return dict(sorted(named.items()))
 
 
@@ -518,6 +531,26 @@ def oracle_sql() -> dict[str, str]:
             '(a\(b\)\\' || CAST(l_partkey AS VARCHAR) || ')' AS literal FROM v""",
         "q46_aes_decrypt": "SELECT c_custkey, c_name AS name FROM customer",
         "q47_object_key": """SELECT p_partkey, substr(md5(unhex('0011223344' || lpad(printf('%X', p_partkey & 255), 2, '0') || lpad(printf('%X', (p_partkey >> 8) & 255), 2, '0') || lpad(printf('%X', (p_partkey >> 16) & 255), 2, '0') || '0000')), 1, 20) AS key FROM part""",
+        "q39_filters_roundtrip": "SELECT doc_id, unnest(['FlateDecode', 'LZWDecode', 'ASCII85Decode', 'ASCIIHexDecode', 'RunLengthDecode', 'Paeth']) AS filter, true AS same FROM documents",
+        "q49_pdf_search": """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n, unnest(string_split(text, chr(10))) AS x FROM documents),
+          s AS (SELECT doc_id, n, x, string_split_regex(x, '(?i)the') AS parts FROM l WHERE regexp_matches(x, '(?i)the')),
+          m AS (SELECT doc_id, n, x, k, CAST(list_sum(list_transform(parts[1:k], lambda z: length(z))) AS BIGINT) + 3 * (k - 1) AS c FROM (SELECT *, unnest(range(1, len(parts))) AS k FROM s))
+          SELECT doc_id, CAST(n // 50 AS BIGINT) AS page_index, CAST(row_number() OVER (PARTITION BY doc_id, n // 50 ORDER BY n, k) - 1 AS BIGINT) AS match_index, substr(x, c + 1, 3) AS text, CAST(1 AS BIGINT) AS n_quads,
+            CAST(720 + 60 * c AS BIGINT) AS x0, CAST(7188 - 120 * (n % 50) AS BIGINT) AS y0, CAST(900 + 60 * c AS BIGINT) AS x1, CAST(7268 - 120 * (n % 50) AS BIGINT) AS y1 FROM m""",
+        "q50_pdf_objects": """WITH p AS (SELECT doc_id, unnest(range(0, (coalesce(len(string_split(text, chr(10))), 1) + 49) // 50)) AS i FROM documents)
+          SELECT doc_id, num, CAST(0 AS BIGINT) AS gen, 'value' AS kind, type FROM documents, (VALUES (CAST(1 AS BIGINT), 'Catalog'), (2, 'Pages'), (5, 'Font')) v(num, type)
+          UNION ALL SELECT doc_id, CAST(20 + 2 * i AS BIGINT), 0, 'value', 'Page' FROM p UNION ALL SELECT doc_id, CAST(21 + 2 * i AS BIGINT), 0, 'stream', NULL FROM p""",
+        "q51_plan_per_document": """SELECT doc_id, CASE WHEN doc_id % 11 = 0 OR doc_id % 7 = 0 THEN NULL ELSE CAST(greatest(0, least(coalesce(length(string_split(text, chr(10))[doc_id % 4 + 1]), 0) - doc_id % 5, 10)) AS BIGINT) END AS text_glyphs_removed,
+          CASE WHEN doc_id % 11 = 0 THEN 'UnsupportedOption' WHEN doc_id % 7 = 0 THEN 'InvalidPageIndex' END AS error FROM documents""",
+        "q52_fonts_of_documents": f"""WITH {_base_char()}, c AS (SELECT event_id, user_id % 40 AS font, event_id % 256 AS code, event_id % 256 + user_id % 40 AS n, ['{"', '".join(encodings.NAMES)}'][user_id % 3 + 1] AS encoding FROM events)
+          SELECT event_id, font, CAST(c.code AS BIGINT) AS code, encoding, CASE WHEN n % 7 = 0 THEN chr(CAST(945 + n % 20 AS INT)) WHEN n % 5 = 0 THEN chr(CAST(1040 + n % 30 AS INT)) ELSE coalesce(ch, chr(65533)) END AS ch,
+            CAST(CASE WHEN c.code BETWEEN 32 AND 126 THEN 250 + n ELSE 600 END AS BIGINT) AS width FROM c LEFT JOIN enc USING (encoding, code)""",
+        "q53_decrypt_documents": """SELECT r_regionkey, v, r, method, CASE WHEN r_regionkey % 3 < 2 THEN r_name END AS text, CASE WHEN r_regionkey % 3 = 2 THEN 'InvalidPassword' END AS error
+          FROM region, (VALUES (1, 2, 'V2'), (2, 3, 'V2'), (4, 4, 'V2'), (4, 4, 'AESV2'), (5, 5, 'AESV3'), (5, 6, 'AESV3')) h(v, r, method)""",
+        "q54_quad_transform": """WITH k AS (SELECT p_partkey, p_partkey % 4 AS q, p_partkey % 50 AS tx, p_partkey % 30 AS x, unnest(CASE WHEN p_partkey % 3 = 2 THEN [0, 1] ELSE [0] END) AS n FROM part)
+          SELECT p_partkey, CAST(n AS BIGINT) AS n, CAST(tx + CASE q WHEN 0 THEN x WHEN 1 THEN -4 WHEN 2 THEN -x - 10 ELSE 0 END AS BIGINT) AS x0, CAST(5 + CASE q WHEN 0 THEN 0 WHEN 1 THEN x WHEN 2 THEN -4 ELSE -x - 10 END AS BIGINT) AS y0,
+            CAST(tx + CASE q WHEN 0 THEN x + 10 WHEN 1 THEN 0 WHEN 2 THEN -x ELSE 4 END AS BIGINT) AS x1, CAST(5 + CASE q WHEN 0 THEN 4 WHEN 1 THEN x + 10 WHEN 2 THEN 0 ELSE -x END AS BIGINT) AS y1,
+            CAST(tx + CASE q WHEN 0 THEN x WHEN 1 THEN 0 WHEN 2 THEN -x ELSE 0 END AS BIGINT) AS first_x FROM k""",
         "q48_conversation_search": f"WITH {_PAGES.replace('FROM documents', 'FROM (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)')} SELECT doc_id, CAST(page_index AS BIGINT) AS page_index, CAST((length(norm) - length(replace(norm, '{ONE}', ''))) // {len(ONE)} AS BIGINT) AS n_matches FROM i WHERE contains(norm, '{ONE}')",
     }
     both = f"WITH {_spans(ONE)}"

@@ -68,8 +68,8 @@ def _opened(content: bytes, password: str | None, certificate: tuple[bytes, byte
     return reader.open_pdf(content, password or b"", certificate)
 
 
-def _each(df: DataFrame, schema: pa.Schema, rows: Callable[..., Iterator[dict]], certificate: tuple[bytes, bytes] | None = None) -> DataFrame:
-    """``rows(path, document)`` of every document, or one row with the error."""
+def _each(df: DataFrame, schema: pa.Schema, rows: Callable[..., Iterator[dict]], certificate: tuple[bytes, bytes] | None = None, plans: bool = False) -> DataFrame:
+    """``rows(path, document)`` of every document, or one row with the error; ``plans``: and what its column ``plan`` says."""
     key = df.sparkSession.sparkContext.broadcast(certificate)  # never a column
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,19 +77,20 @@ def _each(df: DataFrame, schema: pa.Schema, rows: Callable[..., Iterator[dict]],
 
         for batch in batches:
             for i in range(batch.num_rows):
-                path, content, password = (batch.column(k)[i].as_py() for k in range(3))
+                path, content, password, plan = (batch.column(k)[i].as_py() for k in range(4))
                 try:
                     if content is None:
                         raise PdfError("Parse", "no content")
-                    out = list(rows(path, _opened(content, password, key.value)))
+                    doc = _opened(content, password, key.value)
+                    out = list(rows(path, doc, plan) if plans else rows(path, doc))
                 except PdfError as e:
                     out = [{"path": path, "error": {"code": e.code, "message": e.message}}]
                 except Exception as e:  # noqa: BLE001  a broken file must not end the job
                     out = [{"path": path, "error": {"code": "Corrupt", "message": f"{type(e).__name__}: {e}"}}]
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    password = F.col("password") if "password" in df.columns else F.lit(None).cast("string")
-    return df.select("path", "content", password.alias("password")).mapInArrow(run, _ddl(schema))
+    more = [(F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in ("password", "plan")]
+    return df.select("path", "content", *more).mapInArrow(run, _ddl(schema))
 
 
 def _ddl(schema: pa.Schema):
@@ -184,20 +185,39 @@ def search(df: DataFrame, queries: list[str], certificate: tuple[bytes, bytes] |
     return _each(df, MATCHES, rows, certificate)
 
 
-def redact(df: DataFrame, plan: dict, queries: list[str] = (), certificate: tuple[bytes, bytes] | None = None) -> DataFrame:
-    """Rewritten bytes and report of every document: the plan's targets and all matches of ``queries``."""
+def with_plans(df: DataFrame, plans: DataFrame) -> DataFrame:
+    """``df`` with the ``plan`` (JSON) that ``plans`` (path, plan; a row a path) has for each document, or null."""
+    return df.join(plans.select("path", "plan"), "path", "left")
 
-    def rows(path: str, doc) -> Iterator[dict]:
+
+def redact(df: DataFrame, plan: dict | None = None, queries: list[str] = (), certificate: tuple[bytes, bytes] | None = None) -> DataFrame:
+    """Rewritten bytes and report of every document: its plan's targets and all matches of ``queries``.
+
+    A column ``plan`` (JSON, may be null) has a document's own plan, instead of ``plan``. A plan that is
+    not valid is an error of its document alone.
+    """
+
+    def rows(path: str, doc, own: str | None) -> Iterator[dict]:
         from veilframe.operators.targets import Plan
         from veilframe.pdf import layout, redactor, writer
+        from veilframe.pdf.model import PdfError
 
-        found = [m for q in queries for i in range(len(doc.pages)) for m in layout.search(layout.layout(doc, i), q, i)]
+        try:
+            plan = json.loads(own) if own is not None else common_plan
+            options = Plan.from_json(plan)
+        except (ValueError, AttributeError) as e:
+            raise PdfError("UnsupportedOption", f"plan: {e}") from e
+        found = []
+        for i in range(len(doc.pages) if queries else 0):  # a page is laid out once for all queries
+            page = layout.layout(doc, i)
+            found += [m for q in queries for m in layout.search(page, q, i)]
         # What search finds is redacted wherever it lies, off the visible page too.
         targets = redactor.targets_of(plan.get("targets") or [], doc) + [redactor.Target(m.page, m.quads) for m in found]
-        new, report = redactor.apply(doc, targets, Plan.from_json(plan))
+        new, report = redactor.apply(doc, targets, options)
         yield {"path": path, "pdf": writer.save(new.file), "report": vars(report)}
 
-    return _each(df, REDACTED, rows, certificate)
+    common_plan = plan or {}
+    return _each(df, REDACTED, rows, certificate, plans=True)
 
 
 def write_files(redacted: DataFrame, folder: str) -> DataFrame:
@@ -223,23 +243,31 @@ def write_files(redacted: DataFrame, folder: str) -> DataFrame:
 
 
 class _PdfGlyphs:
-    def eval(self, content: bytes):
-        from veilframe.pdf import layout, reader
+    """Glyphs of a document; where it, or a page of it, cannot be read, a row with ``error`` says so."""
+
+    def eval(self, content: bytes, password: str = None):
         from veilframe.pdf.model import PdfError
 
+        none = (None,) * 6
         try:
-            doc = reader.open_pdf(bytes(content))
-            for i in range(len(doc.pages)):
-                for k, g in enumerate(layout.layout(doc, i).glyphs):
-                    yield i, k, g.ch, *map(float, g.box), g.visible
-        except PdfError:
-            return
+            if content is None:
+                raise PdfError("Parse", "no content")
+            for i, found, error in _layouts(_opened(bytes(content), password, None)):
+                if error:
+                    yield i, None, *none, error["code"]
+                for k, g in enumerate(found.glyphs if found else ()):
+                    yield i, k, g.ch, *map(float, g.box), g.visible, None
+        except PdfError as e:
+            yield None, None, *none, e.code
+        except Exception:  # noqa: BLE001  a broken file must not end the job
+            yield None, None, *none, "Corrupt"
 
 
 def glyphs_udtf() -> UserDefinedTableFunction:
-    return udtf(_PdfGlyphs, returnType="page_index int, glyph_index int, ch string, x0 double, y0 double, x1 double, y1 double, visible boolean")
+    returns = "page_index int, glyph_index int, ch string, x0 double, y0 double, x1 double, y1 double, visible boolean, error string"
+    return udtf(_PdfGlyphs, returnType=returns, useArrow=True)
 
 
 def register(spark: SparkSession) -> None:
-    """SQL: ``SELECT ... FROM files, LATERAL pdf_glyphs(content)``."""
+    """SQL: ``SELECT ... FROM files, LATERAL pdf_glyphs(content, password)``; the password may be left out."""
     spark.udtf.register("pdf_glyphs", glyphs_udtf())
