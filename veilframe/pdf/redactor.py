@@ -17,7 +17,7 @@ from typing import Any
 
 from veilframe.operators.redact import ALLOWED
 from veilframe.operators.targets import Plan
-from veilframe.pdf import content, filters, layout
+from veilframe.pdf import content, filters, jpeg, layout
 from veilframe.pdf.content import Operation
 from veilframe.pdf.layout import Box, Draw, Glyph, meets
 from veilframe.pdf.lexer import number_text
@@ -291,11 +291,11 @@ class _Page:
         space = space[0] if isinstance(space, list) and len(space) == 1 else space
         n = {"DeviceGray": 1, "DeviceRGB": 3, "DeviceCMYK": 4}.get(str(space))
         chain = filters.names(image.dict, self.file.resolve)
-        odd = any(k in image.dict for k in ("ImageMask", "Decode", "Mask")) or any(f != "FlateDecode" for f in chain)
-        if n is None or bpc != 8 or odd:
+        odd = any(k in image.dict for k in ("ImageMask", "Decode", "Mask")) or any(f != "FlateDecode" for f in chain if f != chain[-1] or f != "DCTDecode")
+        data = None if n is None or bpc != 8 or odd else self._samples(image, chain, w, h, n)
+        if data is None:
             self.report.warnings.append(f"image {d.name} cannot be painted in part and is dropped whole")
             return None
-        data = bytearray(filters.decode(image.data, image.dict, self.file.resolve))
         if len(data) < w * h * n:
             raise PdfError("Corrupt", "an image has too few bytes")
         pixel = _pixel(self.plan.fill, n)
@@ -309,6 +309,20 @@ class _Page:
             new["SMask"] = self._opaque(soft, d)
         return self.file.add(Stream(new | {"Filter": Name("FlateDecode")}, zlib.compress(bytes(data))))
 
+    def _samples(self, image: Stream, chain: list[str], w: int, h: int, n: int) -> bytearray | None:
+        """The samples of an image, row by row; None if it is a picture of another kind or shape than is read."""
+        if chain[-1:] != ["DCTDecode"]:
+            return bytearray(filters.decode(image.data, image.dict, self.file.resolve))
+        parms = self.file.resolve(image.dict.get("DecodeParms"))
+        every = [self.file.dict_of(p) for p in (parms if isinstance(parms, list) else [parms])]
+        inner = {"Filter": [Name(f) for f in chain[:-1]], "DecodeParms": every[: len(chain) - 1]}
+        raw = filters.decode(image.data, inner, self.file.resolve) if len(chain) > 1 else image.data
+        try:
+            picture = jpeg.decode(raw, as_int(every[-1].get("ColorTransform")) if every else None)
+        except PdfError:
+            return None
+        return bytearray(picture.tobytes()) if picture.shape == (h, w, n) else None
+
     def _opaque(self, soft: Stream, d: Draw) -> Ref:
         w, h = as_int(self.file.resolve(soft.dict.get("Width")), 0), as_int(self.file.resolve(soft.dict.get("Height")), 0)
         chain = filters.names(soft.dict, self.file.resolve)
