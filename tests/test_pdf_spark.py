@@ -72,3 +72,14 @@ def test_arrival_stream_takes_each_file_once(spark, tmp_path):
     (src / "c.pdf").write_bytes(builder.from_text("late"))
     arrival.pages_to(spark, str(src), table, state).awaitTermination(60)
     assert sorted(r.text or "" for r in spark.read.parquet(table).collect()) == ["", "Hello the Secret\nsecond line", "late", "the other"]
+
+
+def test_what_was_redacted_is_not_found_again(spark, sf):
+    from pyspark.sql import functions as F
+
+    from veilframe.plans import pdf_queries
+
+    docs = pdf_queries.made(spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text"))
+    done = pdf.redact(docs, {"mode": "redact"}, ["the"])
+    assert done.select(F.sum("report.text_glyphs_removed")).first()[0] > 0
+    assert pdf.search(done.select("path", F.col("pdf").alias("content")), ["the"]).where("match_index is not null").count() == 0

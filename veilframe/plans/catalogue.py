@@ -394,8 +394,8 @@ def _pdf(name):
     return run
 
 
-_NOT_SQL = ("q12_visual_lines", "q40_pdf_roundtrip")
-_PDF = ("q39_filters_roundtrip", "q40_pdf_roundtrip", "q46_aes_decrypt", "q47_object_key", "q49_pdf_search", "q50_pdf_objects", "q51_plan_per_document", "q53_decrypt_documents")
+_NOT_SQL = ("q12_visual_lines",)
+_PDF = ("q39_filters_roundtrip", "q40_pdf_roundtrip", "q46_aes_decrypt", "q47_object_key", "q49_pdf_search", "q50_pdf_objects", "q51_plan_per_document", "q53_decrypt_documents", "q55_pdf_things")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -532,6 +532,14 @@ def oracle_sql() -> dict[str, str]:
         "q46_aes_decrypt": "SELECT c_custkey, c_name AS name FROM customer",
         "q47_object_key": """SELECT p_partkey, substr(md5(unhex('0011223344' || lpad(printf('%X', p_partkey & 255), 2, '0') || lpad(printf('%X', (p_partkey >> 8) & 255), 2, '0') || lpad(printf('%X', (p_partkey >> 16) & 255), 2, '0') || '0000')), 1, 20) AS key FROM part""",
         "q39_filters_roundtrip": "SELECT doc_id, unnest(['FlateDecode', 'LZWDecode', 'ASCII85Decode', 'ASCIIHexDecode', 'RunLengthDecode', 'Paeth']) AS filter, true AS same FROM documents",
+        "q40_pdf_roundtrip": f"""WITH {_spans(QUERY)}, c AS (SELECT doc_id, count(DISTINCT page_index) AS n FROM r GROUP BY ALL),
+          g AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, page_index, line_no, unnest(range(CAST(first_col AS BIGINT), CAST(last_col AS BIGINT) + 1)) FROM r) GROUP BY ALL)
+          SELECT d.doc_id, coalesce(c.n, 0) AS pages_touched, coalesce(g.n, 0) AS text_glyphs_removed, true AS saved, CAST(NULL AS VARCHAR) AS error FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id""",
+        "q55_pdf_things": """WITH k AS (SELECT p_partkey, p_partkey % 2 = 1 AS notes, 20 * (p_partkey % 17) AS x, 25 * (p_partkey % 19) AS y FROM part),
+          h AS (SELECT *, y < 420 + 6.8 AND y + 60 > 420 - 1.2 AS on_line, x < 140.5 AND x + 60 > 99.5 AND y < 230.5 AND y + 60 > 199.5 AS on_path, x < 250 AND x + 60 > 210 AND y < 340 AND y + 60 > 300 AS on_image,
+            x <= 210 AND x + 60 >= 250 AND y <= 300 AND y + 60 >= 340 AS whole, x < 340 AND x + 60 > 300 AND y < 120 AND y + 60 > 100 AS on_note FROM k)
+          SELECT p_partkey, CAST(CASE WHEN on_line THEN greatest(0, least(12, ceil((x + 60 - 72) / 6.0)) - greatest(0, floor((x - 72) / 6.0))) ELSE 0 END AS BIGINT) AS text_glyphs_removed, CAST(on_path AS BIGINT) AS path_paints_removed,
+            CAST(on_image AND whole AS BIGINT) AS image_draws_removed, CAST(on_image AND NOT whole AS BIGINT) AS image_draws_masked, CAST(notes AND on_note AS BIGINT) AS annotations_removed, CAST(NULL AS VARCHAR) AS error FROM h""",
         "q49_pdf_search": """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n, unnest(string_split(text, chr(10))) AS x FROM documents),
           s AS (SELECT doc_id, n, x, string_split_regex(x, '(?i)the') AS parts FROM l WHERE regexp_matches(x, '(?i)the')),
           m AS (SELECT doc_id, n, x, k, CAST(list_sum(list_transform(parts[1:k], lambda z: length(z))) AS BIGINT) + 3 * (k - 1) AS c FROM (SELECT *, unnest(range(1, len(parts))) AS k FROM s))
