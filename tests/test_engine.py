@@ -212,3 +212,30 @@ def test_operators_outside_the_list(spark):
     ops = ["q", "sh", "BX", "sh", "EX", "EX", "d0", "BX", "BX", "EX", "zz", "EX", "zz"]
     df = spark.createDataFrame([(1, i, o) for i, o in enumerate(ops)], "page int, at int, op string")
     assert [r.at for r in redact.disallowed(df, ["page"], ["at"]).orderBy("at").collect()] == [1, 6, 12]
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 129, 5000])
+def test_matches_of_one_endless_line(spark, n):
+    df = spark.createDataFrame([(1, "xyAa" * n + "end")], "doc_id long, text string")
+    got = search.positions(search.index(textlayer.pages(df)), "yaa").orderBy("match_index").collect()
+    assert [(r.match_index, r.start) for r in got] == [(k, 4 * k + 1) for k in range(n)]
+
+
+def test_hidden_sections_are_those_of_a_fold(spark):
+    rng, rows = random.Random(4), []
+    for page in range(6):
+        rows += [(page, i, rng.choice([2, 2, 1, -1, -1, -1, 0])) for i in range(300)]
+    want = {}
+    for page in range(6):
+        depth = begun = 0
+        for _, i, k in (r for r in rows if r[0] == page):
+            want[page, i] = begun > 0 or k == 2
+            if k > 0:
+                depth += 1
+                begun = depth if k == 2 and not begun else begun
+            elif k < 0:
+                begun = 0 if begun == depth else begun
+                depth = max(0, depth - 1)
+    df = spark.createDataFrame(rows, "page int, i int, k int").repartition(3)
+    got = sanitize.hidden_sections(df, ["page"], ["i"], F.col("k") == 2, F.col("k") == 1, F.col("k") == -1)
+    assert {(r.page, r.i): r.hidden for r in got.collect()} == want

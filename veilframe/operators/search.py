@@ -29,15 +29,33 @@ def count(index: DataFrame, query: str) -> DataFrame:
     return index.select("doc_id", "page_index", n.cast("long").alias("n_matches")).where("n_matches > 0")
 
 
+def _running(steps: Column, lead: int = 0) -> Column:
+    """Sum of an array (``at``), and for each element the sum up to it, less ``lead`` (``found``)."""
+    return F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("found")),
+        lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["found"], s["at"] + x - lead).alias("found")),
+    )
+
+
+#: Matches whose places are summed up in one go: appending copies an array, so it is done to short ones.
+RUN = 64
+
+
 def starts(norm: Column, query: str) -> Column:
-    """Positions of the matches in a normalised text."""
-    if not query:
-        return F.expr("cast(array() as array<int>)")
-    # A mark stands in for each match, so the blanked text is as long as the page and its marks are where matches begin.
-    mark = "\x00" + "\x01" * (len(query) - 1)
-    clean = F.translate(norm, "\x00", "\x01")
-    marked = F.split(F.regexp_replace(clean, quote(query), mark), "")
-    return F.filter(F.transform(marked, lambda c, i: F.when(c == "\x00", i)), lambda i: i.isNotNull())
+    """Positions of the matches in a normalised text: running sums of what lies between them, run by run."""
+    size = len(query)
+
+    def located(parts: Column) -> Column:
+        steps = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x: F.length(x) + size)
+        last = ((F.size(parts) - 2) / RUN).cast("int")
+        return let(steps, lambda xs: let(F.transform(F.sequence(F.lit(0), last), lambda k: _running(F.slice(xs, k * RUN + 1, F.lit(RUN)), size)), joined))
+
+    def joined(runs: Column) -> Column:
+        before = let(_running(F.transform(runs, lambda r: r["at"])), lambda s: F.transform(runs, lambda r, k: F.get(s["found"], k) - r["at"]))
+        return F.flatten(F.zip_with(runs, before, lambda r, at: F.transform(r["found"], lambda x: x + at)))
+
+    return let(F.split(norm, quote(query), -1), located)
 
 
 def positions(index: DataFrame, query: str) -> DataFrame:
