@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import pytest
 
-from veilframe.pdf import builder, content, crypto, filters, fonts, layout, reader, redactor, writer
+from veilframe.pdf import builder, content, crypto, filters, fonts, layout, reader, writer
 from veilframe.pdf.document import PdfDocument, search_targets
 from veilframe.pdf.lexer import serialise
 from veilframe.pdf.model import File, Name, PdfError, Ref, Stream

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions import encodings
-from veilframe.functions.geometry import Matrix, Rect, luminance, page_size, page_transform, quad_bounds, well_formed
+from veilframe.functions.geometry import Matrix, Rect, page_size, page_transform, quad_bounds, well_formed
 from veilframe.operators import fonts, graph, images, redact, sanitize, search, targets, textlayer, visual
 from veilframe.session import table as t
 
