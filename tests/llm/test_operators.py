@@ -632,6 +632,17 @@ def test_cross_entropy_tells_all_words_apart(spark):
     assert len(again) == 9 and all(r.background_loss == pytest.approx(want, rel=1e-9) for r in again)
 
 
+def test_chunks_keep_keys_beside_texts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(cross_entropy, "CHUNK", 10)
+    key = pa.StructArray.from_arrays([pa.array(range(20)), pa.array([i % 3 == 0 for i in range(20)])], names=["doc_id", "target"])
+    batch = pa.record_batch([key, pa.array([f"t{i}" * (i % 4) for i in range(20)])], names=["key", "text"])
+    chunks = list(cross_entropy._chunks(iter([batch, batch.slice(3, 9), batch.slice(19)]), 1))
+    rows = [r for _, texts, k in chunks for r in zip(k.field("doc_id").to_pylist(), k.field("target").to_pylist(), texts)]
+    assert rows == [(i, i % 3 == 0, (f"t{i}" * (i % 4)).encode()) for i in [*range(20), *range(3, 12), 19]] and len(chunks) > 3
+
+
 # 10 ------------------------------------------------------------------------------------------------
 
 
