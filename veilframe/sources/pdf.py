@@ -34,6 +34,8 @@ OPERATIONS = pa.schema([("path", pa.string()), ("page_index", pa.int64()), ("op_
 MATCHES = pa.schema([("path", pa.string()), ("page_index", pa.int64()), ("query", pa.string()), ("match_index", pa.int64()), ("text", pa.string()), ("quads", pa.list_(pa.struct(_BOX))), ("error", ERROR)])
 REPORT = pa.struct([(k, pa.int64()) for k in ("pages_touched", "text_glyphs_removed", "path_paints_removed", "image_draws_removed", "image_draws_masked", "annotations_removed", "form_xobjects_rewritten")] + [("warnings", pa.list_(pa.string()))])
 REDACTED = pa.schema([("path", pa.string()), ("pdf", pa.binary()), ("report", REPORT), ("error", ERROR)])
+#: Rows, and bytes of documents, after which a batch is passed on: one per small document costs more than its reading.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,6 +77,7 @@ def _each(df: DataFrame, schema: pa.Schema, rows: Callable[..., Iterator[dict]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from veilframe.pdf.model import PdfError
 
+        held, size = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 path, content, password, plan = (batch.column(k)[i].as_py() for k in range(4))
@@ -87,7 +90,13 @@ def _each(df: DataFrame, schema: pa.Schema, rows: Callable[..., Iterator[dict]],
                     out = [{"path": path, "error": {"code": e.code, "message": e.message}}]
                 except Exception as e:  # noqa: BLE001  a broken file must not end the job
                     out = [{"path": path, "error": {"code": "Corrupt", "message": f"{type(e).__name__}: {e}"}}]
-                yield pa.RecordBatch.from_pylist(out, schema)
+                held += out
+                size += len(content or b"")
+                if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(held, schema)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)
 
     more = [(F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in ("password", "plan")]
     return df.select("path", "content", *more).mapInArrow(run, _ddl(schema))
