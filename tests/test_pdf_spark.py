@@ -83,3 +83,31 @@ def test_what_was_redacted_is_not_found_again(spark, sf):
     done = pdf.redact(docs, {"mode": "redact"}, ["the"])
     assert done.select(F.sum("report.text_glyphs_removed")).first()[0] > 0
     assert pdf.search(done.select("path", F.col("pdf").alias("content")), ["the"]).where("match_index is not null").count() == 0
+
+
+def test_saved_bytes_are_read_again(spark):
+    made = spark.createDataFrame([("a", builder.from_text("Find th the place\n" + "line\n" * 60)), ("b", builder.from_text("nothing", form="stream")), ("c", b"%PDF-1.4 nonsense")], "path string, content binary")
+    rows = {r.path: r for r in pdf.redact(made, {"mode": "redact"}, ["th the"], reopen=True).collect()}
+    assert tuple(rows["a"].reopened) == (2, 0, 11 + 60 * 4, 6, 0) and rows["a"].report.text_glyphs_removed == 6
+    assert tuple(rows["b"].reopened) == (1, 0, 7, 0, 0)
+    assert rows["c"].reopened is None and rows["c"].error.code == "Parse"
+
+
+def test_reading_again_tells_what_was_not_redacted():
+    from veilframe.pdf import reader, redactor
+
+    raw = builder.from_text("Find th the place\n" + "line\n" * 60)
+    doc, target = reader.open_pdf(raw), redactor.Target(0, [(102.0, 718.8, 138.0, 726.8)])
+    assert pdf._reopened(doc, [target], raw) == {"pages": 2, "pages_lost": 0, "glyphs": 257, "glyphs_lost": 0, "glyphs_under_targets": 6}
+    other = builder.from_text("Find place")
+    assert pdf._reopened(doc, [target], other) == {"pages": 1, "pages_lost": 1, "glyphs": 10, "glyphs_lost": 247, "glyphs_under_targets": 5}
+
+
+def test_roundtrip_is_not_saved_where_the_saved_bytes_are_short(spark, sf, monkeypatch):
+    from veilframe.plans import pdf_queries
+
+    good, plain = pdf_queries.q40_pdf_roundtrip(spark, sf), pdf.redact
+    assert good.where("not saved").count() == 0
+    lost = F.col("reopened").withField("glyphs_lost", F.col("reopened.glyphs_lost") + 1)
+    monkeypatch.setattr(pdf, "redact", lambda *a, **k: plain(*a, **k).withColumn("reopened", lost))
+    assert pdf_queries.q40_pdf_roundtrip(spark, sf).where("saved").count() == 0

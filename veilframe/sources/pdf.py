@@ -34,6 +34,7 @@ OPERATIONS = pa.schema([("path", pa.string()), ("page_index", pa.int64()), ("op_
 MATCHES = pa.schema([("path", pa.string()), ("page_index", pa.int64()), ("query", pa.string()), ("match_index", pa.int64()), ("text", pa.string()), ("quads", pa.list_(pa.struct(_BOX))), ("error", ERROR)])
 REPORT = pa.struct([(k, pa.int64()) for k in ("pages_touched", "text_glyphs_removed", "path_paints_removed", "image_draws_removed", "image_draws_masked", "annotations_removed", "form_xobjects_rewritten")] + [("warnings", pa.list_(pa.string()))])
 REDACTED = pa.schema([("path", pa.string()), ("pdf", pa.binary()), ("report", REPORT), ("error", ERROR)])
+REOPENED = pa.struct([(k, pa.int64()) for k in ("pages", "pages_lost", "glyphs", "glyphs_lost", "glyphs_under_targets")])
 #: Rows, and bytes of documents, after which a batch is passed on: one per small document costs more than its reading.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
@@ -199,11 +200,29 @@ def with_plans(df: DataFrame, plans: DataFrame) -> DataFrame:
     return df.join(plans.select("path", "plan"), "path", "left")
 
 
-def redact(df: DataFrame, plan: dict | None = None, queries: list[str] = (), certificate: tuple[bytes, bytes] | None = None) -> DataFrame:
+def _reopened(doc, targets: list, data: bytes) -> dict:
+    """What a reader finds in saved bytes, against the document ``doc`` they were made of."""
+    from veilframe.pdf import layout, reader
+
+    again = reader.open_pdf(data)
+    before = sum(layout.layout(doc, i).codes for i in range(len(doc.pages)))
+    glyphs = under = 0
+    for i in range(len(again.pages)):
+        page = layout.layout(again, i)
+        glyphs += page.codes
+        # Kerns are written in six places, so what stands beside a target may reach it by a hair.
+        inner = [(a + 0.01, b + 0.01, c - 0.01, d - 0.01) for t in targets if t.page == i for a, b, c, d in t.quads]
+        under += len(page.hits(inner)) if inner else 0
+    return {"pages": len(again.pages), "pages_lost": len(doc.pages) - len(again.pages), "glyphs": glyphs, "glyphs_lost": before - glyphs, "glyphs_under_targets": under}
+
+
+def redact(df: DataFrame, plan: dict | None = None, queries: list[str] = (), certificate: tuple[bytes, bytes] | None = None, reopen: bool = False) -> DataFrame:
     """Rewritten bytes and report of every document: its plan's targets and all matches of ``queries``.
 
     A column ``plan`` (JSON, may be null) has a document's own plan, instead of ``plan``. A plan that is
-    not valid is an error of its document alone.
+    not valid is an error of its document alone. With ``reopen`` the saved bytes are read again, every page of
+    them, and ``reopened`` says what is there: an overlay's label counts among its glyphs, and what strip mode
+    closes up may come to lie under a target. Bytes that cannot be read are an error.
     """
 
     def rows(path: str, doc, own: str | None) -> Iterator[dict]:
@@ -223,10 +242,11 @@ def redact(df: DataFrame, plan: dict | None = None, queries: list[str] = (), cer
         # What search finds is redacted wherever it lies, off the visible page too.
         targets = redactor.targets_of(plan.get("targets") or [], doc) + [redactor.Target(m.page, m.quads) for m in found]
         new, report = redactor.apply(doc, targets, options)
-        yield {"path": path, "pdf": writer.save(new.file), "report": vars(report)}
+        row = {"path": path, "pdf": writer.save(new.file), "report": vars(report)}
+        yield row | {"reopened": _reopened(doc, targets, row["pdf"])} if reopen else row
 
     common_plan = plan or {}
-    return _each(df, REDACTED, rows, certificate, plans=True)
+    return _each(df, REDACTED.append(pa.field("reopened", REOPENED)) if reopen else REDACTED, rows, certificate, plans=True)
 
 
 def write_files(redacted: DataFrame, folder: str) -> DataFrame:
